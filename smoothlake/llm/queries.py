@@ -36,8 +36,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read, write
+
+    return read(write(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_ring_sharding": op5_ring_sharding,
+    "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
