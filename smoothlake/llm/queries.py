@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_scan import oracle as license_oracle
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,7 +50,35 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(_table(spark, sf_dir, "documents")))
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_trust import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vp_search import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+
+    return read(write(_table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_trust": op1_url_trust,
+    "op2_license_scan": op2_license_scan,
+    "op4_vp_search": op4_vp_search,
+    "op6_warc": op6_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ring_sharding": op5_ring_sharding,
     "op7_token_files": op7_token_files,
@@ -57,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_oracle()}
