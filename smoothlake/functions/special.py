@@ -74,7 +74,7 @@ def softplus_d3(x):
 
 
 def normal_cdf(x):
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def normal_pdf(x):

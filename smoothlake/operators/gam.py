@@ -142,7 +142,8 @@ def working_pass(design: Design, family: Family, response: str, beta: np.ndarray
 def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = None, method: str = "REML", weights: str | None = None, offset: str | None = None, control: GamControl = GamControl(), na_action: str = "fail", optimizer: str = "efs", discrete: BamControl | None = None, **more):
     """Fits an additive model. Multi-parameter families, shape constraints, linear constraints, random effects
     and priors go to their own fitters."""
-    from smoothlake.operators.gamlss import MultiFamily, gamlss
+    from smoothlake.operators.gamlss import gamlss
+    from smoothlake.operators.multifamilies import MultiFamily
 
     if isinstance(family, MultiFamily):
         return gamlss(formula, df, family, weights=weights, na_action=na_action, **more)

@@ -192,7 +192,7 @@ def bind(formula: Formula, rows, side: bool = True) -> Design:
         if isinstance(basis, ShapeSpline):
             turn, shift = np.eye(basis.width), mean
             turn = np.eye(basis.sigma.shape[1])
-        elif basis.constrain and not numeric:
+        elif basis.constrain and not numeric and not spec.xt.get("random"):
             turn = null_basis(mean)
         else:
             turn = np.eye(basis.width)
