@@ -127,10 +127,12 @@ def working_pass(design: Design, family: Family, response: str, beta: np.ndarray
         v = np.maximum(family.variance(mu), 1e-300)
         dev = family.deviance(y, mu, w)
         pearson = w * (y - mu) ** 2 / v
-        if WITHIN in cols:
-            dev, pearson = dev + cols[WITHIN], pearson + cols["__spread"] / v
+        square = ww @ (z * z)
+        if WITHIN in cols:  # what compressed rows differ by within their group
+            within = cols["__spread"] / v
+            dev, pearson, square = dev + cols[WITHIN], pearson + within, square + within.sum()
         xw = x * ww[:, None]
-        out = {"g": x.T @ xw, "b": xw.T @ z, "s": np.array([ww @ (z * z), dev.sum(), pearson.sum(), w.sum(), (w * y).sum(), (cols[COUNT] if COUNT in cols else w > 0).sum(), ww.sum()])}
+        out = {"g": x.T @ xw, "b": xw.T @ z, "s": np.array([square, dev.sum(), pearson.sum(), w.sum(), (w * y).sum(), (cols[COUNT] if COUNT in cols else w > 0).sum(), ww.sum()])}
         if getattr(family, "estimate", False) and hasattr(family, "theta_derivatives") and beta is not None:
             g, h = family.theta_derivatives(y, mu, w)
             out["theta"] = np.array([g.sum(), h.sum()])
@@ -227,10 +229,6 @@ def fit_design(design: Design, rows: LocalRows | SparkRows, table: DataFrame, fa
                 break
             last = dev
         known = 1.0 if family.known_scale else None
-        within = dev if direct and beta is None else 0.0
-        if direct:
-            # the first pass was at mu = y: its weighted square of z about no mean is all there is
-            zz = zz + (within if WITHIN in getattr(rows, "columns", {}) or (isinstance(rows, SparkRows) and WITHIN in rows.df.columns) else 0.0)
         w = Working(r["g"], r["b"], zz, n_used, known)
         if "theta" in r:
             g, h = r["theta"]

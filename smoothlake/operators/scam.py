@@ -141,8 +141,6 @@ def fit_constrained(design, rows, table, family, method: str, control: GamContro
                 converged = True
                 break
             last = dev
-        if direct:
-            zz += dev
         w = Working(r["g"], r["b"], zz, n_used, 1.0 if family.known_scale else None)
         if linear:
             beta, rho, turn = _quadratic(design, w, method, control.gamma, ineq, eq, rho)
