@@ -320,6 +320,14 @@ def gamm_suppliers(spark, sf_dir):
     return gamm.gamm("l_extendedprice ~ s(l_quantity, k=5, bs='cr') + (1 | l_returnflag)", li).varcorr()
 
 
+@query()
+def gamm_many_levels(spark, sf_dir):
+    from smoothlake.operators.gamm_large import gamm_large
+
+    li = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_suppkey")
+    return gamm_large("l_extendedprice ~ s(l_quantity, k=5, bs='cr') + (1 | l_suppkey)", li).ranef()
+
+
 @query()
 def qgam_prices(spark, sf_dir):
     c = _counts(spark, sf_dir)
