@@ -4,9 +4,10 @@ A text's k-mers are its runs of ``k`` words, each labelled with how often it has
 labelled k-mer is unique in its text. One sketch holds the ``sample`` k-mers of smallest hash, kept in text
 order: two texts share it with a probability that falls with their edit distance. Texts that share a sketch
 meet in a bucket. The bucket's most connected text is its leader, and the others are aligned with it alone;
-after components are formed, only buckets that still hold several components are looked at again, and there
-every pair across components whose signatures allow the threshold is aligned too, so no link between
-different components goes untested however large the bucket.
+after components are formed, only buckets that still hold several components are looked at again, block by
+block: there every pair across components whose signatures and common k-mers allow the threshold is aligned
+until its components are joined, so no link between different components goes untested however large the
+bucket is, and a group of near copies costs links in proportion to its texts.
 
 Alignment: labelled k-mers match at most once in either text, so the longest common subsequence is the
 longest increasing run of matched positions, within a band around the diagonal. With L common k-mers in
@@ -184,48 +185,137 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
     return members.join(leaders, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _mixed_pairs(shared: DataFrame, labels: DataFrame, sketched: DataFrame, o: DedupOptions) -> DataFrame:
-    """Pairs of different components in one bucket whose lengths and signatures allow the threshold.
-
-    A bucket's rows are dealt into blocks; two blocks meet in one task, so that no task needs a whole bucket.
-    """
-    label = F.coalesce("label", "node")
-    placed = shared.join(labels, "node", "left").withColumn("label", label)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows")
-    rows = placed.join(mixed, "key").join(sketched.select("node", "n", "sig"), "node")
+def _groups(batches, names: list[str], key: list[str]):
+    """Lists of the columns ``names`` for each run of equal ``key`` columns in sorted batches."""
+    held: list[list] = [[] for _ in names]
+    current = None
+    for b in batches:
+        columns = [b.column(n).to_pylist() for n in names]
+        keys = list(zip(*(b.column(n).to_pylist() for n in key), strict=True))
+        begin = 0
+        for i, k in enumerate(keys):
+            if k != current:
+                for h, c in zip(held, columns, strict=True):
+                    h += c[begin:i]
+                if current is not None:
+                    yield current, held
+                held, current, begin = [[] for _ in names], k, i
+        for h, c in zip(held, columns, strict=True):
+            h += c[begin:]
+    if current is not None:
+        yield current, held
+
+
+def _met(rows: DataFrame, o: DedupOptions) -> DataFrame:
+    """A bucket's rows dealt into blocks, each repeated for the blocks it meets: a block meets itself and, once,
+    every other block of its bucket, so that no task needs a whole bucket. Sorted by (key, lo, hi)."""
     blocks = F.ceil(F.col("rows") / o.block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # a block meets itself and, once, every other block of its bucket
-    met = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("blocks", "other")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+
+def _plausible(mixed: DataFrame, o: DedupOptions) -> DataFrame:
+    """(key, node): the members of mixed buckets that some member of another component may be linked with, as
+    far as lengths and signatures tell."""
     least, bins = o.similarity, o.bins
-    schema = "a binary, b binary"
-
-    def compare(_, pdf):
-        import pandas as pd
-
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), bins)
-        n, label, mine = pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["mine"].to_numpy()
-        node = pdf["node"].to_numpy()
-        codes = pd.factorize(pd.Series(label))[0]
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        first, second = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        a, b = [], []
-        for i in first:
-            js = second[second > i] if lo == hi else second
-            js = js[(codes[js] != codes[i]) & (np.minimum(n[js], n[i]) >= least * np.maximum(n[js], n[i]))]
-            if not len(js):
+    names = ["node", "label", "n", "sig", "mine"]
+
+    def run(batches):
+        for (key, lo, hi), (node, label, n, sig, mine) in _groups(batches, names, ["key", "lo", "hi"]):
+            if len(node) < 2:
                 continue
-            used = ((sig[js] > 0) | (sig[i] > 0)).sum(axis=1)
-            agree = ((sig[js] == sig[i]) & (sig[i] > 0)).sum(axis=1)
-            bound = least - 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-            for j in js[agree >= bound * used]:
-                a.append(min(node[i], node[j]))
-                b.append(max(node[i], node[j]))
-        return pd.DataFrame({"a": a, "b": b})
+            codes = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+            sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(node), bins)
+            n, mine = np.array(n), np.array(mine)
+            there = sig > 0
+            keep = np.zeros(len(node), bool)
+            for i in np.flatnonzero(mine == lo) if lo != hi else range(len(node) - 1):
+                js = np.flatnonzero(mine == hi) if lo != hi else np.arange(i + 1, len(node))
+                js = js[(codes[js] != codes[i]) & (np.minimum(n[js], n[i]) >= least * np.maximum(n[js], n[i]))]
+                if len(js):
+                    used = (there[js] | there[i]).sum(axis=1)
+                    agree = ((sig[js] == sig[i]) & there[i]).sum(axis=1)
+                    js = js[agree >= (least - 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))) * used]
+                    keep[js] = True
+                    keep[i] |= len(js) > 0
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([node[i] for i in at], pa.binary())], ["key", "node"])
+
+    return _met(mixed, o).select("key", "lo", "hi", *names).mapInArrow(run, "key long, node binary").distinct()
+
+
+def overlaps(kmers: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common k-mers of all pairs of texts, as products of incidence matrices over the k-mers that
+    several of them have."""
+    sizes = [len(x) for x in kmers]
+    row = np.repeat(np.arange(len(kmers)), sizes)
+    _, col, count = np.unique(np.concatenate(kmers), return_inverse=True, return_counts=True)
+    common = count > 1
+    number = np.cumsum(common) - 1
+    use = common[col]
+    row, col = row[use], number[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    total = np.zeros((len(kmers), len(kmers)), np.float32)
+    step = 2048
+    for lo in range(0, int(common.sum()), step):
+        a, b = np.searchsorted(col, [lo, lo + step])
+        m = np.zeros((len(kmers), step), np.float32)
+        m[row[a:b], col[a:b] - lo] = 1.0
+        total += m @ m.T
+    return total
+
+
+def _mixed_links(shared: DataFrame, labels: DataFrame, sketched: DataFrame, kmers: DataFrame, o: DedupOptions) -> DataFrame:
+    """(a, b, similarity): links that join different components within buckets.
+
+    All pairs of a block are compared by their common k-mers; pairs that reach the threshold are aligned, unless
+    their components have been joined before, so a group of many near copies gives a link per text, not per pair.
+    """
+    placed = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low <> high").select("key", "rows")
+    mixed = placed.join(sizes, "key").join(sketched.select("node", "n", "sig"), "node")
+    chosen = staged(_plausible(mixed.select("key", "rows", "node", "label", "n", "sig"), o), "plausible")
+    # equal sets of members meet in several buckets: one of these buckets is enough
+    member = F.xxhash64("node")
+    sets = chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("x"))
+    once = sets.where("rows > 1").groupBy("rows", "s", "x").agg(F.min("key").alias("key")).select("key", "rows")
+    rows = chosen.join(once, "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(kmers, "node")
+    least = o.similarity
+    names = ["node", "label", "h", "mine"]
 
-    cols = ["key", "lo", "hi", "mine", "node", "label", "n", "sig"]
-    return met.select(*cols).groupBy("key", "lo", "hi").applyInPandas(compare, schema).distinct()
+    def run(batches):
+        for (_, lo, hi), (node, label, h, mine) in _groups(batches, names, ["key", "lo", "hi"]):
+            if len(node) < 2:
+                continue
+            x = [np.frombuffer(v, "<u4") for v in h]
+            n, mine = np.array([len(v) for v in x]), np.array(mine)
+            common = overlaps(x)
+            near = common >= least / (1 + least) * (n[:, None] + n) - 1e-3
+            parent = {v: v for v in label}
+
+            def root(v):
+                while parent[v] != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
+            out = []
+            for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+                if (lo != hi and mine[i] == mine[j]) or (r := root(label[i])) == (q := root(label[j])):
+                    continue
+                similarity = aligned(x[i], x[j], least)
+                if similarity >= least:
+                    parent[max(r, q)] = min(r, q)
+                    out.append((min(node[i], node[j]), max(node[i], node[j]), similarity))
+            if out:
+                a, b, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(v, pa.float64())], ["a", "b", "similarity"])
+
+    return _met(rows.select("key", "rows", "node", "label", "h"), o).select("key", "lo", "hi", *names).mapInArrow(run, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
 def near_classes(documents: DataFrame, options: DedupOptions = DedupOptions()) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +334,7 @@ def near_classes(documents: DataFrame, options: DedupOptions = DedupOptions()) -
     kmers = staged(_kmers(texts.join(near, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), o), "kmers")
     links = staged(_aligned(_star_pairs(shared), kmers, o), "links")
     labels = components(links)
-    more = staged(_aligned(_mixed_pairs(shared, labels, sketched, o), kmers, o), "links")
+    more = staged(_mixed_links(shared, labels, sketched, kmers, o), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)
@@ -255,7 +345,7 @@ def near_duplicates(documents: DataFrame, options: DedupOptions = DedupOptions()
     """doc_id, class_id, keep, links: one row per row of ``documents``.
 
     class_id is the smallest doc_id of the class; keep marks the one row of it that a corpus retains (the
-    smallest doc_id's, one row where that is repeated); links counts the text's links to different texts.
+    smallest doc_id's, one row where that is repeated); links counts the links to different texts that were needed to form the class.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels, links = near_classes(rows, options)
