@@ -22,7 +22,7 @@ from smoothlake.operators.rowmap import add_columns
 from smoothlake.operators.smoothing import Selector, Working, inverse
 from smoothlake.plans.design import Design, bind
 from smoothlake.plans.formula import parse
-from smoothlake.sources.rows import SparkRows, rows_of, to_columns
+from smoothlake.sources.rows import rows_of, to_columns
 
 
 @dataclass
@@ -99,7 +99,7 @@ def gamm_large(formula, df: DataFrame, method: str = "REML", weights: str | None
     levels = sums.count()
     selector = Selector(design, method)
     p = design.p
-    per_level = SparkRows(sums.drop("level"), levels)
+    per_level = rows_of(sums.drop("level"), levels)
 
     def reduced(ratios: np.ndarray):
         def block(cols):
@@ -117,7 +117,7 @@ def gamm_large(formula, df: DataFrame, method: str = "REML", weights: str | None
         found = []
         for i in range(len(ratios)):
             w = Working(g - s["g"][i], b - s["b"][i], zz - float(s["z"][i]), n)
-            rho = selector.select(w, newton=8)
+            rho = selector.select(w, newton=3)
             found.append((selector.score(rho, w) + 0.5 * float(s["d"][i]), i, rho, w))
         return min(found, key=lambda x: x[0])
 
