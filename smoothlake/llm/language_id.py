@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ PAD, END = 1, 2  # code points which no letter has
 
 @dataclass(frozen=True)
 class LanguageIdOptions:
-    """order: length of the longest n-gram. documents_per_language: bound of the sample the models are
-    fitted on (the documents with the smallest hashes of their ids); a tenth of it calibrates rejection.
+    """order: length of the longest n-gram. documents_per_language: bound (in expectation) of the sample
+    the models are fitted on, drawn by hashes of the ids; a tenth of it calibrates rejection.
     quantile, slack, least_excess: a text is rejected if its cross-entropy exceeds the mean of its language
     by more than ``slack`` times that quantile of the calibration texts' excess, and by ``least_excess`` nats;
     the excess of texts under ``steady`` symbols is damped by the square root of their length."""
@@ -228,12 +228,12 @@ def fit(documents: DataFrame, options: LanguageIdOptions = LanguageIdOptions())
     labelled = (
         documents.select("doc_id", "text", "lang")
         .where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .withColumn("draw", F.xxhash64("doc_id"))
+        .withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
     )
-    w = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    chosen = labelled.select("lang", "doc_id", "draw").withColumn("r", F.row_number().over(w)).where(F.col("r") <= options.documents_per_language)
-    # the bounded choice is found on the narrow columns; its texts come by a join with its ids
-    sample = labelled.join(chosen.groupBy("doc_id", "lang").agg(F.max("r").alias("r")), ["doc_id", "lang"], "left_semi")
+    # each language's share of draws that gives the expected number of documents: no sort, no shuffle of texts
+    sizes = labelled.groupBy("lang").count().collect()
+    shares = F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, options.documents_per_language / r["count"] * 1e6)]) if sizes else None
+    sample = labelled.where(F.col("draw") < shares[F.col("lang")]) if sizes else labelled
 
     def count(batches):
         texts: dict[tuple[str, bool], list[str]] = {}
