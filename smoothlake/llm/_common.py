@@ -66,27 +66,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered for the frequent ones within a bounded dictionary."""
+class _Hashes(dict):
+    """Hashes of strings, computed where they are missing and kept while there is room."""
 
-    def __init__(self, most: int = 300_000):
-        self.known: dict[str, int] = {}
+    def __init__(self, most: int):
+        super().__init__()
         self.most = most
 
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < self.most:
+            self[word] = h
+        return h
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered within a bounded dictionary."""
+
+    def __init__(self, most: int = 400_000):
+        self.known = _Hashes(most)
+
     def __call__(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        digest = xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def null_safe(c: str):
