@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,6 +67,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+WORD, LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^\W\d_]+")
+
+
+def _listed(pattern: re.Pattern) -> re.Pattern:
+    """The same one-character class, written out for the characters of Latin-1, which is matched faster."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(256) if pattern.fullmatch(chr(c))) + "]+")
+
+
+_LATIN = {p: _listed(p) for p in (WORD, LETTERS)}
+
+
+def word_list(text: str, pattern: re.Pattern = WORD) -> list[str]:
+    """The lower-cased words of a text: runs of letters and digits, or of letters alone."""
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return pattern.findall(text)
+    return _LATIN[pattern].findall(text)
+
+
 class _Hashes(dict):
     """Hashes of strings, computed where they are missing and kept while there is room."""
 

@@ -12,7 +12,6 @@ labelled row every text gives ``und``. Extra columns pass through untouched wher
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import mix, tune
+from ._common import LETTERS, mix, tune, word_list
 
-LETTERS = re.compile(r"[^\W\d_]+")
 PAD, END = 1, 2  # code points which no letter has
 
 
@@ -80,7 +78,7 @@ def ngram_counts(texts, order: int) -> Counter:
     """Counts of the highest-order n-grams (strings with padding) of lower-cased words."""
     words: Counter = Counter()
     for text in texts:
-        words.update(LETTERS.findall(text.lower()))
+        words.update(word_list(text, LETTERS))
     grams: Counter = Counter()
     for w, c in words.items():
         s = chr(PAD) * (order - 1) + w + chr(END)
@@ -193,7 +191,7 @@ class Judge:
 
     def entropies(self, text: str | None) -> tuple[np.ndarray | None, int]:
         """Cross-entropy per symbol under each language, and the number of symbols; None without a letter."""
-        words = LETTERS.findall(text.lower()) if text and self.model.languages else []
+        words = word_list(text, LETTERS) if text and self.model.languages else []
         if not words:
             return None, 0
         if len(self.known) > self.most:

@@ -29,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mix, staged, tune
+from ._common import WORD, WordHashes, mix, staged, tune, word_list
 from .components import components
 
-WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -138,7 +137,7 @@ def _sketched(texts: DataFrame, o: DedupOptions) -> DataFrame:
         for b in batches:
             rows = [[], [], [], []]
             for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = kmer_hashes(words(WORD.findall(text.lower())), o.k)
+                h = kmer_hashes(words(word_list(text)), o.k)
                 if len(h):
                     for to, v in zip(rows, (node, len(h), order_sketches(h, o.sketches, o.sample).view(np.int64).tolist(), signature(h, o.bins)), strict=True):
                         to.append(v)
@@ -153,7 +152,7 @@ def _kmers(texts: DataFrame, o: DedupOptions) -> DataFrame:
     def run(batches):
         words = WordHashes()
         for b in batches:
-            h = [(kmer_hashes(words(WORD.findall(t.lower())), o.k) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            h = [(kmer_hashes(words(word_list(t)), o.k) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(h, pa.binary())], ["node", "h"])
 
     return texts.mapInArrow(run, "node binary, h binary")

@@ -432,3 +432,13 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate.common_subsequence(decontaminate._masks(a), len(a), b) == t[-1][-1]
+
+
+def test_word_lists_are_those_of_the_plain_patterns():
+    from smoothlake.llm._common import LETTERS, WORD, word_list
+
+    rng = random.Random(8)
+    for top in (127, 255, 0x3000):
+        for _ in range(300):
+            t = "".join(chr(rng.randint(0, top)) for _ in range(50))
+            assert word_list(t) == WORD.findall(t.lower()) and word_list(t, LETTERS) == LETTERS.findall(t.lower())
