@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import staged, tune
-from .tokens import Encoder, crc, default_tokenizer
+from .tokens import crc, default_tokenizer, encoder
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def pieces_of(documents: DataFrame, options: PackingOptions = PackingOptions(),
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
-        encode = Encoder(path)
+        encode = encoder(path)
         end = np.array([o.end_id], "<u4").tobytes()
         for b in batches:
             rows = []

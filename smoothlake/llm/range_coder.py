@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 2048  # ids of a block; the last one is filled up with zeros
-SLOTS = 1024  # remembered contexts of each order
+BLOCK = 1024  # ids of a block; the last one is filled up with zeros
+SLOTS = 256  # remembered contexts of each order (a power of two)
 RENEW = 64
 ONE, CLASSES, WHOLE, NEAR = 1024, 256, 4096, 16  # shares of the orders, classes, their shares, a step of the search table
 LOW = np.uint64(1 << 48)
@@ -42,8 +42,8 @@ class Model:
             self.renew()
         self.step += 1
         h = self.last * np.uint32(2654435761)
-        self.h1 = self.slots + (h >> np.uint32(22))
-        self.h2 = self.slots + (((h ^ (h >> np.uint32(15))) + self.older * np.uint32(2246822519)) >> np.uint32(22))
+        self.h1 = self.slots + (h >> np.uint32(33 - SLOTS.bit_length()))
+        self.h2 = self.slots + (((h ^ (h >> np.uint32(15))) + self.older * np.uint32(2246822519)) >> np.uint32(33 - SLOTS.bit_length()))
         self.p1, self.p2 = self.after1.take(self.h1), self.after2.take(self.h2)
         a, b = self.p1 > 0, self.p2 > 0
         self.context = self.fives + np.where(self.p1 == self.p2, a * 4, a * 2 + b)
@@ -83,7 +83,7 @@ def encode(blocks: np.ndarray, shift: int) -> list[bytes]:
     at, sh = m.at, U(shift)
     whole = U(12 + shift)  # log2 of an order's unit
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    width = steps * 3 + 16
+    width = steps * (26 + shift) // 16 + 32
     words, n = np.zeros(lanes * width, np.uint16), at * width
     columns = np.ascontiguousarray(blocks.T)
     for step in range(steps):

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from ._common import file_system, scan_partitions, shared_dir, staged, tune
-from .tokens import Encoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 
 MAGIC, SECTION_MAGIC = b"SLTOKEN1", b"SECT"
-SECTION = range_coder.BLOCK * 2048
+SECTION = range_coder.BLOCK * 8192
 FOOTER = struct.Struct("<QQ8s")  # place of the document table, documents, magic
 
 
@@ -136,7 +136,7 @@ def write(documents: DataFrame, options: TokenFileOptions = TokenFileOptions(),
     def run(batches):
         part = TaskContext.get().partitionId()
         fs, place = file_system(folder)
-        encode = Encoder(path)
+        encode = encoder(path)
         writer = stream = None
         tokens = 0
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"

@@ -1,61 +1,131 @@
 """Token ids of whole texts by a public tokenizer file, with the ids of frequent words remembered.
 
-The tokenizers this is for never join characters across ASCII white space, so a text's ids are the ids of its
-white-space separated pieces one after another. Each distinct piece is encoded by the library once per
-worker; a text with other control separators, which the library and bytes.split treat differently, is
-encoded whole.
+Where the tokenizer drops white space, lower-cases and splits by a pattern before its byte-level merges (its
+file says so), no merge crosses a piece between ASCII white space, nor a part of a piece that the pattern
+finds. A text's ids are then those of its pieces one after another: the library's merge model runs once per
+distinct part, and two bounded memories, of pieces and of parts, give the rest. Pieces with characters whose
+case or composition could differ between the library and Python go through the library whole, and so do the
+texts of any other kind of tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
+import regex
 
-UNSURE = re.compile("[\x1c-\x1f]")
+UNSURE = re.compile("[\x1c-\x1f]")  # separators for one of str and the library only
+PLAIN = re.compile("[\x21-ɏ]+")  # case and composition known to agree
+
+
+class Memory:
+    """A bounded dictionary: when the young half is full it becomes the old one; what is used again moves over."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        v = self.young.get(key)
+        if v is None and (v := self.old.get(key)) is not None:
+            self.put(key, v)
+        return v
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level tokenizers write bytes as: printable ones as they are, the rest in order
+    from 256."""
+    keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in keep]
+    return {b: chr(b) if b in keep else chr(256 + rest.index(b)) for b in range(256)}
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids (bytes), within a bounded memory of pieces."""
+    """Encodes texts to little-endian unsigned 32-bit ids (bytes), within a bounded memory."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, pieces: int = 800_000, parts: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
-
-    def _learn(self, pieces) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(pieces)
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        self.pieces, self.parts = Memory(pieces), Memory(parts)
+        self.letters = byte_letters()
+        self.pattern = self._pattern(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
+
+    def _pattern(self, said: dict):
+        """The splitting pattern, if the tokenizer is of the kind whose pieces are independent."""
+        normal = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+            return None
+        split, level = steps
+        if not split["invert"] or split["behavior"] != "Removed" or level["use_regex"] or level["add_prefix_space"]:
+            return None
+        self.specials = [t["content"].encode() for t in said["added_tokens"]]
+        return regex.compile(split["pattern"]["Regex"])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            letters = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+            got = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            self.parts.put(part, got)
+        return got
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if not PLAIN.fullmatch(text) or any(s in piece for s in self.specials):
+            return self._whole(text)
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+            if not PLAIN.fullmatch(text):
+                return self._whole(piece.decode())
+        return b"".join(map(self._part, self.pattern.findall(text)))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if UNSURE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.pattern is None or UNSURE.search(text):
+            return self._whole(text)
         pieces = text.encode().split()
+        memory = self.pieces
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return b"".join(map(memory.young.__getitem__, pieces))
         except KeyError:
             pass
         out = []
-        for lo in range(0, len(pieces), 50_000):  # a part never holds more pieces than the memory
-            part = pieces[lo : lo + 50_000]
-            self._learn(set(part))
-            out.append(b"".join(map(self.known.__getitem__, part)))
+        for p in pieces:
+            got = memory.young.get(p)
+            if got is None and (got := memory.get(p)) is None:
+                got = self._piece(p)
+                if len(p) <= 64:
+                    memory.put(p, got)
+            out.append(got)
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, whose memories outlive its tasks."""
+    return Encoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
