@@ -5,7 +5,9 @@ hold them, counted over all documents. A distributed randomised SVD of TF-IDF pa
 and with less weight those of a bounded sample of documents) gives a basis; every window of every document is
 projected into it and compared with every item by cosine, the window's length being that of the whole vector. Windows over the threshold are candidates, and the longest common subsequence of the item's
 words and the words around the window decides; where only part of it is there (a paraphrase), the item's
-answer, its last sentence, must be there too.
+answer, its last sentence, must be there too. An item whose words weigh so little that a verbatim copy among
+the heaviest words might stay under the threshold is looked up directly: each window around which enough of
+its words stand is a candidate.
 
 Edge cases: null or wordless texts and items match nothing; ties and repeated rows are reported row by row;
 empty tables give empty results; extra columns pass through where documents are returned.
@@ -202,6 +204,29 @@ class Searcher:
         self.terms = np.concatenate([terms, np.zeros((1, terms.shape[1]), np.float32)])
         z = np.stack([terms[_columns(self.hashes(i.words), o.columns), :-1].sum(axis=0) for i in items])
         self.z = np.ascontiguousarray((z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).T)
+        self.direct: list[tuple[int, np.ndarray]] = []  # items that the cosine might miss, and which columns are theirs
+        least, heaviest = np.minimum((terms[:, :-1] @ self.z).min(axis=0), 0.0), terms[:, -1].max()
+        for k, i in enumerate(items):
+            c = _columns(self.hashes(i.words), o.columns)
+            if self._least_cosine(c, self.z[:, k], least[k], heaviest) < 1.01 * o.cosine:
+                member = np.zeros(len(self.terms), bool)
+                member[c] = True
+                self.direct.append((k, member))
+
+    def _least_cosine(self, cols: np.ndarray, z: np.ndarray, least: float, heaviest: float) -> float:
+        """The cosine that some window reaches wherever a verbatim copy begins and whatever words stand beside it."""
+        inner = np.concatenate(([0.0], np.cumsum(self.terms[cols, :-1] @ z, dtype=np.float64)))
+        squares = np.concatenate(([0.0], np.cumsum(self.terms[cols, -1], dtype=np.float64)))
+        steps = [max(1, size // STEP // 2) * STEP for size in self.o.windows]
+        begins = np.arange(max(steps))[:, None]
+        best = np.full(len(begins), -1.0)
+        for size, step in zip(self.o.windows, steps, strict=True):
+            starts = np.arange(0, len(begins) + len(cols), step)
+            lo, hi = np.clip(starts - begins, 0, len(cols)), np.clip(starts + size - begins, 0, len(cols))
+            beside = size - (hi - lo)
+            length = np.sqrt(np.maximum(squares[hi] - squares[lo] + beside * heaviest, 1e-9))
+            best = np.maximum(best, ((inner[hi] - inner[lo] + beside * least) / length).max(axis=1))
+        return float(best.min())
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, bool]]]:
         found: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
@@ -230,30 +255,43 @@ class Searcher:
         for lo in range(0, len(cols) // STEP, 2048):
             part = cols[lo * STEP : (lo + 2048) * STEP]
             sums[lo + 1 : lo + 1 + len(part) // STEP] = self.terms[part].reshape(-1, STEP, self.terms.shape[1]).sum(axis=1)
-        np.cumsum(sums, axis=0, out=sums)
+        sums = np.cumsum(sums, axis=0, dtype=np.float64)
         best: dict[tuple[int, int], tuple[float, bool]] = {}
         for size in o.windows:
             m = size // STEP
             starts = np.arange(0, begin[-1], max(1, m // 2))
             for lo in range(0, len(starts), 4096):
                 s = starts[lo : lo + 4096]
-                z = sums[s + m] - sums[s]
+                z = (sums[s + m] - sums[s]).astype(np.float32)
                 length = np.sqrt(np.maximum(z[:, -1:], 1e-9))
                 at, item = np.nonzero(z[:, :-1] @ self.z >= o.cosine * length)
                 for b, k in zip(s[at].tolist(), item.tolist(), strict=True):
-                    d = int(np.searchsorted(begin, b, "right")) - 1
-                    while d < len(words) and begin[d] < b + m:
-                        if best.get((d, k), (0.0,))[0] < 1.0:
-                            x = self.items[k]
-                            n = len(x.words)
-                            lo_w = (b - int(begin[d])) * STEP
-                            got = verified(x, words[d][max(0, lo_w - n) : lo_w + size + n], o)
-                            if got:
-                                best[d, k] = max(got, best.get((d, k), got))
-                        d += 1
+                    self._align(b, size, k, words, begin, best)
+        size = max(o.windows)
+        starts = np.arange(0, begin[-1], max(1, size // STEP // 2))
+        for k, member in self.direct:
+            n = len(self.items[k].words)
+            held = np.concatenate(([0], np.cumsum(member[cols].reshape(-1, STEP).sum(axis=1))))
+            reach = -(-n // STEP)
+            around = held[np.minimum(starts + size // STEP + reach, len(held) - 1)] - held[np.maximum(starts - reach, 0)]
+            for b in starts[around >= o.paraphrase * n].tolist():
+                self._align(b, size, k, words, begin, best)
         for (d, k), got in best.items():
             found[lot[d]].append((self.items[k].item_id, *got))
 
+    def _align(self, b: int, size: int, k: int, words, begin, best) -> None:
+        """Aligns an item with the words around the window at block ``b``, in each text the window touches."""
+        d = int(np.searchsorted(begin, b, "right")) - 1
+        while d < len(words) and begin[d] < b + size // STEP:
+            if best.get((d, k), (0.0,))[0] < 1.0:
+                x = self.items[k]
+                n = len(x.words)
+                lo_w = (b - int(begin[d])) * STEP
+                got = verified(x, words[d][max(0, lo_w - n) : lo_w + size + n], self.o)
+                if got:
+                    best[d, k] = max(got, best.get((d, k), got))
+            d += 1
+
 
 def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptions):
     """Broadcast lots of items with the projected terms; a lot holds at most ``items_per_pass`` items."""

@@ -423,6 +423,22 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_decontamination_of_frequent_words(spark):
+    """Items of words without weight: one that fills a third of the rows, and one that is the whole table."""
+    rng = random.Random(12)
+    item = " ".join(f"hot{chr(97 + i)}" for i in range(20))
+    rows = [(i, item if i % 3 == 0 else words(rng, 20, [f"w{j}" for j in range(400)])) for i in range(300)]
+    rows.append((300, " ".join(f"rare{j}" for j in range(30)) + " " + item + " " + " ".join(f"rarer{j}" for j in range(30))))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted((r.doc_id, r.share) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == [(i, 1.0) for i in range(0, 301, 3)]
+    for n in (40, 8):
+        text = " ".join(f"one{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+        alone, bench = spark.createDataFrame([(7, text)], "doc_id long, text string"), spark.createDataFrame([(2, text)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(alone, bench).collect()] == [(7, 2)]
+        assert decontaminate.keep_clean(alone, bench).count() == 0
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
