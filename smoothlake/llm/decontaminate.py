@@ -2,7 +2,7 @@
 
 Terms are hashed into a fixed number of columns and weighted by the inverse of the share of passages that
 hold them, counted over all documents. A distributed randomised SVD of TF-IDF passages (the benchmark's items,
-and with less weight those of a bounded sample of documents) gives a basis; every window of every document is
+and with less weight those of all documents) gives a basis; every window of every document is
 projected into it and compared with every item by cosine, the window's length being that of the whole vector. Windows over the threshold are candidates, and the longest common subsequence of the item's
 words and the words around the window decides; where only part of it is there (a paraphrase), the item's
 answer, its last sentence, must be there too. An item whose words weigh so little that a verbatim copy among
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, WordHashes, tune, word_list
+from ._common import WORD, WordHashes, staged, tune, word_list
 
 SENTENCE = re.compile(r"[.!?\n]+")
 STEP = 8  # words of a block; windows are runs of blocks
@@ -33,8 +33,8 @@ STEP = 8  # words of a block; windows are runs of blocks
 class DecontaminationOptions:
     """columns: hashed terms (a power of two). rank: of the basis. power: power iterations. passage: words of a
     passage. common: natural logarithm of the frequency discount; terms in more than exp(-common) of the passages
-    carry no weight. fit_documents: expected number of documents whose passages take part in the fit, with the
-    share ``background`` of its weight (frequencies come from all documents).
+    carry no weight. background: weight of the passages of all documents in the fit, as a share of the items'.
+    part: words whose sum a task of the fit hands on at once.
     windows: lengths in words, each moved by half its length. cosine: least latent cosine of a candidate.
     verbatim: least share of the item's words in order for a match without an answer check. paraphrase:
     least share with one. answer: least share of the answer's words in order. items_per_pass: a larger
@@ -45,8 +45,8 @@ class DecontaminationOptions:
     power: int = 1
     passage: int = 32
     common: float = 1.0
-    fit_documents: int = 4_000
     background: float = 0.1
+    part: int = 1 << 22
     windows: tuple[int, ...] = (16, 32, 64)
     cosine: float = 0.3
     verbatim: float = 0.8
@@ -109,21 +109,47 @@ def _columns(hashes: np.ndarray, columns: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - (columns - 1).bit_length())).astype(np.int64)
 
 
-def term_counts(documents: DataFrame, columns: int) -> np.ndarray:
+def passages_of(documents: DataFrame, o: DecontaminationOptions) -> DataFrame:
+    """A written table of the columns of all words, two bytes each: passages of a text, the last one filled up
+    with ``columns``. Words are split once for the frequencies and every pass of the fit."""
+    most = max(1, (1 << 18) // o.passage) * o.passage
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            rows, size = [], 0
+            for text in b.column("text").to_pylist():
+                c = _columns(hashes(word_list(text)), o.columns).astype("<u2")
+                rows += [c, np.full(-len(c) % o.passage, o.columns, "<u2")]
+                size += len(rows[-2]) + len(rows[-1])
+                if size >= most:
+                    yield from cut(rows)
+                    rows, size = [], 0
+            if size:
+                yield from cut(rows)
+
+    def cut(rows):
+        c = np.concatenate(rows)
+        for lo in range(0, len(c), most):
+            yield pa.RecordBatch.from_arrays([pa.array([c[lo : lo + most].tobytes()], pa.binary())], ["c"])
+
+    return staged(documents.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "c binary"), "passages")
+
+
+def term_counts(passages: DataFrame, columns: int) -> np.ndarray:
     """Occurrences of each hashed term, over all words of all documents."""
     out = pa.schema([("c", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        hashes, total = WordHashes(), np.zeros(columns, np.int64)
+        total = np.zeros(columns + 1, np.int64)
         for b in batches:
-            for text in b.column("text").to_pylist():
-                if text:
-                    total += np.bincount(_columns(hashes(word_list(text)), columns), minlength=columns)
-        at = np.flatnonzero(total)
+            for c in b.column("c").to_pylist():
+                total += np.bincount(np.frombuffer(c, "<u2"), minlength=columns + 1)
+        at = np.flatnonzero(total[:columns])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], schema=out)
 
     counts = np.zeros(columns, np.int64)
-    for c, k in documents.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n")).collect():
+    for c, k in passages.mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n")).collect():
         counts[c] = k
     return counts
 
@@ -134,64 +160,68 @@ def inverse_frequencies(counts: np.ndarray, o: DecontaminationOptions) -> np.nda
     return np.maximum(-np.log(share) - o.common, 0.0).astype(np.float32)
 
 
-def _passages(words: np.ndarray, size: int) -> np.ndarray:
-    return np.arange(0, len(words), size)
-
-
-def _gram_times(cols: np.ndarray, starts: np.ndarray, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'(A q) of the TF-IDF passages that begin at ``starts`` of the term columns."""
-    w = idf[cols]
-    rows = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(cols)]))))
-    norm = np.sqrt(np.add.reduceat(w * w, starts))
-    w = w / np.maximum(norm, 1e-6)[rows]
-    y = np.add.reduceat(w[:, None] * q[cols], starts, axis=0)
-    order = np.argsort(cols, kind="stable")
-    c = cols[order]
-    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-    out = np.zeros_like(q)
-    out[c[first]] = np.add.reduceat(w[order, None] * y[rows[order]], first, axis=0)
-    return out
-
-
-def latent_basis(documents: DataFrame, n: int, items: list[Item], idf: np.ndarray, o: DecontaminationOptions) -> np.ndarray:
+def _add_gram_times(total: np.ndarray, cols: np.ndarray, idf: np.ndarray, q: np.ndarray) -> None:
+    """Adds A'(A q) of TF-IDF passages to ``total``, short of the last factor ``idf``. ``cols`` holds a passage in
+    each row, ``len(idf)`` where there is no word; the last row of ``q``, which is weighted by ``idf``, is zero."""
+    size = cols.shape[1]
+    squares = np.append(idf * idf, np.float32(0))
+    step = max(1, 2048 // size)
+    for lo in range(0, len(cols), 32 * step):
+        part = cols[lo : lo + 32 * step]
+        y = np.empty((len(part), q.shape[1]), np.float32)
+        for at in range(0, len(part), step):
+            y[at : at + step] = q[part[at : at + step]].sum(axis=1)
+        y /= np.maximum(squares[part].sum(axis=1), 1e-12)[:, None]
+        flat = part.ravel()
+        order = np.flatnonzero(squares[flat] > 0)
+        if len(order):
+            order = order[np.argsort(flat[order], kind="stable")]
+            c = flat[order]
+            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            total[c[first]] += np.add.reduceat(y[order // size], first, axis=0)
+
+
+def latent_basis(passages: DataFrame, items: list[Item], counts: np.ndarray, o: DecontaminationOptions) -> np.ndarray:
     """Each term's weighted coordinates and, last, its squared weight. Randomised range finding with power
-    iterations; each pass sums one small matrix per task."""
-    spark = documents.sparkSession
+    iterations; each pass goes over all passages and sums one small matrix per part."""
+    spark = passages.sparkSession
     rng = np.random.default_rng(20)
+    idf = inverse_frequencies(counts, o)
     q = rng.standard_normal((o.columns, o.rank + 8)).astype(np.float32)
-    share = min(1.0, o.fit_documents / max(n, 1))
-    sample = documents.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw")).where((F.col("draw") < share * 1e6) & F.col("text").isNotNull()).select("text")
-    parts = max(1, min(8, round(o.fit_documents / 500)))
-    sample = sample.repartition(parts)
+    # partial sums in proportion to the words, however many files the table has
+    parts = passages.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // o.part)))
     hashes = WordHashes()
-    own = [_columns(hashes(i.words), o.columns) for i in items]
-    block, size = 256, o.passage
+    own = np.full((len(items), max(len(i.words) for i in items)), o.columns, np.int64)
+    for row, i in zip(own, items, strict=True):
+        row[: len(i.words)] = _columns(hashes(i.words), o.columns)
+    block, size = 64, o.passage
 
     for _ in range(o.power + 1):
-        shipped = spark.sparkContext.broadcast((idf, q))
+        weighted = np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]), np.float32)])
+        shipped = spark.sparkContext.broadcast((idf, weighted))
 
         def run(batches):
-            idf, q = shipped.value
-            words, total, passages = WordHashes(), np.zeros_like(q), 0
+            idf, weighted = shipped.value
+            total, n = np.zeros((len(idf), weighted.shape[1])), 0
             for b in batches:
-                for text in b.column("text").to_pylist():
-                    c = _columns(words(word_list(text)), len(idf))
-                    for lo in range(0, len(c), 8192):
-                        part = c[lo : lo + 8192]
-                        total += _gram_times(part, _passages(part, size), idf, q)
-                        passages += -(-len(part) // size)
-            at = range(0, len(total), block)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + block].tobytes() for i in at], pa.binary()), pa.array([passages] * len(at), pa.int64())], ["at", "m", "n"])
+                for c in b.column("c").to_pylist():
+                    cols = np.frombuffer(c, "<u2").astype(np.int64).reshape(-1, size)
+                    _add_gram_times(total, cols, idf, weighted)
+                    n += len(cols)
+            if n:
+                at = range(0, len(total), block)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + block].astype(np.float32).tobytes() for i in at], pa.binary()), pa.array([n] * len(at), pa.int64())], ["at", "m", "n"])
 
         def add(pdf):
             m = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["m"])
             return pdf.iloc[:1].assign(m=[m.astype(np.float32).tobytes()], n=pdf["n"].sum())
 
-        cols = np.concatenate(own)
-        y = _gram_times(cols, np.concatenate(([0], np.cumsum([len(c) for c in own])[:-1])), idf, q)
-        for at, m, passages in sample.mapInArrow(run, "at int, m binary, n long").groupBy("at").applyInPandas(add, "at int, m binary, n long").collect():
-            y[at : at + block] += o.background * len(own) / max(passages, 1) * np.frombuffer(m, np.float32).reshape(-1, q.shape[1])
+        y = np.zeros(q.shape)
+        _add_gram_times(y, own, idf, weighted)
+        for at, m, n in parts.mapInArrow(run, "at int, m binary, n long").groupBy("at").applyInPandas(add, "at int, m binary, n long").collect():
+            y[at : at + block] += o.background * len(own) / n * np.frombuffer(m, np.float32).reshape(-1, q.shape[1])
         shipped.unpersist()
+        y = (y * idf[:, None]).astype(np.float32)
         q = np.linalg.qr(y + 1e-8 * rng.standard_normal(y.shape).astype(np.float32))[0].astype(np.float32)
     return np.hstack([q[:, : o.rank] * idf[:, None], (idf * idf)[:, None]])
 
@@ -301,10 +331,10 @@ def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptio
     items = [x for x in (item_of(i, t) for i, t in rows) if x]
     if not items:
         return []
-    counts = term_counts(documents, o.columns)
-    idf, n = inverse_frequencies(counts, o), documents.count()
+    passages = passages_of(documents, o)
+    counts = term_counts(passages, o.columns)
     lots = [items[lo : lo + o.items_per_pass] for lo in range(0, len(items), o.items_per_pass)]
-    return [spark.sparkContext.broadcast((lot, latent_basis(documents, n, lot, idf, o))) for lot in lots]
+    return [spark.sparkContext.broadcast((lot, latent_basis(passages, lot, counts, o))) for lot in lots]
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:

@@ -439,6 +439,32 @@ def test_decontamination_of_frequent_words(spark):
         assert decontaminate.keep_clean(alone, bench).count() == 0
 
 
+def test_decontamination_basis_is_fitted_on_all_documents(spark):
+    """More than 4,000 documents, under distinct ids and under a single one: the same basis, that of all passages."""
+    rng = random.Random(13)
+    stock = [f"w{j}" for j in range(300)]
+    texts = [words(rng, 40, stock[(i % 4) * 60 :][:120]) for i in range(4400)]
+    bench = spark.createDataFrame([(1, " ".join(stock[5:40]))], "item_id long, text string")
+    o = decontaminate.DecontaminationOptions(rank=4)
+    some = [decontaminate._prepare(spark.createDataFrame([(i if distinct else 5, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), bench, o)[0].value for distinct in (True, False)]
+    assert np.allclose(some[0][1], some[1][1], atol=2e-3)
+    hashes, columns = WordHashes(), 8192
+    cols = [(hashes(p) >> np.uint64(51)).astype(int) for t in texts for p in [t.split()[:32], t.split()[32:]]]
+    own = (hashes(stock[5:40]) >> np.uint64(51)).astype(int)
+    idf = np.sqrt(some[0][1][:, -1].astype(float))
+    use = np.unique(np.concatenate([*cols, own]))
+    a = np.zeros((len(cols) + 1, columns))
+    for row, c, weight in zip(a, [*cols, own], [0.1 / len(cols)] * len(cols) + [1.0], strict=True):
+        np.add.at(row, c, idf[c] * np.sqrt(weight / (idf[c] ** 2).sum()))
+    a = a[:, use]
+    draws = np.random.default_rng(20)
+    q = draws.standard_normal((columns, 12)).astype(np.float32)[use].astype(float)
+    for _ in range(o.power + 1):
+        q = np.linalg.qr(a.T @ (a @ q))[0]
+    mine = some[0][1][use, :4] / idf[use, None]
+    assert np.allclose(np.abs((mine * q[:, :4]).sum(axis=0)), 1.0, atol=1e-3)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
