@@ -32,7 +32,8 @@ class LanguageIdOptions:
     the models are fitted on, drawn by hashes of the ids; a tenth of it calibrates rejection.
     quantile, slack, least_excess: a text is rejected if its cross-entropy exceeds the mean of its language
     by more than ``slack`` times that quantile of the calibration texts' excess, and by ``least_excess`` nats;
-    the excess of texts under ``steady`` symbols is damped by the square root of their length."""
+    the excess of texts under ``steady`` symbols is damped by the square root of their length. few, folds: a
+    language with fewer calibration texts is calibrated by cross-validation over all texts of its sample."""
 
     order: int = 4
     documents_per_language: int = 3000
@@ -40,6 +41,8 @@ class LanguageIdOptions:
     slack: float = 1.6
     least_excess: float = 1.2
     steady: int = 400
+    few: int = 20
+    folds: int = 10
     cache_words: int = 300_000
 
 
@@ -261,26 +264,67 @@ def fit(documents: DataFrame, options: LanguageIdOptions = LanguageIdOptions())
         else:
             counts.setdefault(lang, Counter())[gram] = n
     model = kneser_ney(counts, order)
-    _calibrate(model, held, options)
+    values = _held_entropies(model, held, options)
+    few = [lang for j, lang in enumerate(model.languages) if len(values.get(j, ())) < options.few]
+    if few:
+        texts: dict[str, list[str]] = {}
+        for lang, text in sample.where(F.col("lang").isin(few)).select("lang", "text").collect():
+            texts.setdefault(lang, []).append(text)
+        for lang, several in texts.items():
+            values[model.languages.index(lang)] = _crossed_entropies(several, model.alphabet, options)
+    _calibrate(model, values, options)
     return model
 
 
-def _calibrate(model: LanguageModel, held: list[tuple[str, str]], options: LanguageIdOptions) -> None:
+def _held_entropies(model: LanguageModel, held: list[tuple[str, str]], options: LanguageIdOptions) -> dict[int, list[tuple[float, int]]]:
+    """Per best language, the cross-entropy and length of the calibration texts."""
     judge = Judge(model, options.cache_words)
     values: dict[int, list[tuple[float, int]]] = {}
     for _, text in sorted(held):
         h, n = judge.entropies(text)
         if h is not None:
             values.setdefault(int(np.argmin(h)), []).append((float(h.min()), n))
+    return values
+
+
+def _crossed_entropies(texts: list[str], alphabet: int, options: LanguageIdOptions) -> list[tuple[float, int]]:
+    """Cross-entropy and length of each text of one language under the model of the other folds' texts. Equal
+    texts share a fold; a single text is read as two, its words in turn."""
+    distinct = sorted({t for t in texts if word_list(t, LETTERS)})
+    if len(distinct) == 1:
+        w = word_list(distinct[0], LETTERS)
+        distinct = [" ".join(part) for part in (w[::2], w[1::2]) if part]
+    folds = [distinct[i :: options.folds] for i in range(min(options.folds, len(distinct)))]
+    counts = [ngram_counts(f, options.order) for f in folds]
+    pairs = []
+    for i, fold in enumerate(folds):
+        others: Counter = Counter()
+        for j, c in enumerate(counts):
+            if j != i:
+                others.update(c)
+        if others:
+            model = kneser_ney({"": others}, options.order)
+            model.alphabet = alphabet
+            judge = Judge(model, options.cache_words)
+            pairs += [(float(h[0]), n) for h, n in map(judge.entropies, fold)]
+    return pairs
+
+
+def _calibrate(model: LanguageModel, values: dict[int, list[tuple[float, int]]], options: LanguageIdOptions) -> None:
+    """Mean and limit of each language. Where fewer than ``few`` texts give the excess, that of all languages
+    does; a language whose texts hold a single word has nothing to compare and rejects nothing."""
     k = len(model.languages)
     model.steady = options.steady
     model.mean, model.limit = np.zeros(k), np.full(k, np.inf)
+    excess = {}
     for j, pairs in values.items():
-        h, n = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        model.mean[j] = np.average(h, weights=n)
-        if len(h) >= 20:  # too few texts calibrate nothing
-            excess = (h - model.mean[j]) * np.minimum(1.0, np.sqrt(n / options.steady))
-            model.limit[j] = max(options.slack * np.quantile(excess, options.quantile), options.least_excess)
+        if pairs:
+            h, n = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+            model.mean[j] = np.average(h, weights=n)
+            excess[j] = (h - model.mean[j]) * np.minimum(1.0, np.sqrt(n / options.steady))
+    for j, own in excess.items():
+        e = own if len(own) >= options.few else np.concatenate(list(excess.values()))
+        model.limit[j] = max(options.slack * np.quantile(e, options.quantile), options.least_excess)
 
 
 SCHEMA = T.StructType(

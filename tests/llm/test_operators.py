@@ -286,6 +286,16 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in language_id.identify(docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
+def test_language_id_rejects_gibberish_on_a_small_table(spark, docs):
+    rng = random.Random(15)
+    rows = [(1000 + i, " ".join("".join(rng.choice("bcdfgjqvwxz") for _ in range(7)) for _ in range(80)), None) for i in range(6)]
+    small = docs.select("doc_id", "text", "lang").where("lang is not null").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for table in (small, small.where("doc_id >= 1000 OR (doc_id < 30 AND lang = 'de') OR (doc_id < 12 AND lang = 'en')")):
+        got = language_id.identify(table).collect()
+        assert {r.doc_id for r in got if r.doc_id is not None and r.doc_id >= 1000 and not r.rejected} == set()
+        assert {r.doc_id for r in got if r.rejected and r.doc_id is not None and r.doc_id < 140} == set()
+
+
 def test_kneser_ney_sums_to_one():
     counts = {"x": language_id.ngram_counts(["abba aba baab"], 3), "y": language_id.ngram_counts(["ccc cab"], 3)}
     m = language_id.kneser_ney(counts, 3)
