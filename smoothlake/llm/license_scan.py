@@ -48,6 +48,38 @@ TEMPLATES = {
     "copyright": ["copyright <<var;max=12>> all rights reserved"],
 }
 
+_GNU = "<<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version"
+_CC = "<<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>terms of the<<endOptional>> creative commons attribution"
+
+#: The notices as the licenses print them, scanned beside TEMPLATES. The SQL does not write them.
+NOTICES = {
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " <<var;max=1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " <<var;max=1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+        " <<beginOptional>><<var;max=1>> all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<var;max=16>><<endOptional>>"
+        " <<beginOptional>><<var;max=1>> neither the name of <<var;max=16>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>>"
+        " <<beginOptional>><<var;max=1>> the name of <<var;max=16>> may not be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>>"
+        " this software is provided by <<var;max=16>> as is and any express or implied warranties",
+    ],
+    **{
+        label: [
+            f"under the terms of the gnu {name} public license {_GNU} {version}",
+            f"licensed under the gnu {name} public license {_GNU} {version}",
+            f"under the terms of version {version} of the gnu {name} public license",
+        ]
+        for label, name, version in (("gpl-2.0", "general", "2"), ("gpl-3.0", "general", "3"), ("lgpl-2.1", "lesser general", "2 1"), ("lgpl-3.0", "lesser general", "3"))
+    },
+    **{
+        label: [t for kind in kinds for t in (f"licensed under {_CC} {kind} 4 0", f"under the terms of the creative commons attribution {kind} 4 0")]
+        for label, kinds in (
+            ("cc-by-4.0", ["<<beginOptional>>cc by<<endOptional>>"]),
+            ("cc-by-nc-4.0", ["noncommercial <<beginOptional>>cc by nc<<endOptional>>", "non commercial <<beginOptional>>cc by nc<<endOptional>>"]),
+            ("cc-by-sa-4.0", ["sharealike <<beginOptional>>cc by sa<<endOptional>>", "share alike <<beginOptional>>cc by sa<<endOptional>>"]),
+        )
+    },
+}
+
 MARKUP = re.compile(r"<<(beginOptional|endOptional|var)(?:;max=(\d+))?>>")
 
 
@@ -185,7 +217,8 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None, ph
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document.
     score: 1 where a template is accepted, one half for phrases alone, else 0."""
     tune(documents.sparkSession)
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
+    templates = templates or {label: [*TEMPLATES.get(label, []), *NOTICES.get(label, [])] for label in {**TEMPLATES, **NOTICES}}
+    phrases = phrases or PHRASES
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
 

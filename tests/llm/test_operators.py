@@ -99,6 +99,24 @@ def test_url_propagation_equals_power_iteration(spark):
             assert abs(got.get(h, (0, 0))[k] - r[i]) < 1e-12
 
 
+def test_license_notices_as_printed(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+    {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,"""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    gnu = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = [
+        (bsd.format(""), "bsd"), (bsd.format(third), "bsd"), (bsd.format(third).replace("must retain", "may retain"), None),
+        (gnu.format(";", "General", ";", "2"), "gpl-2.0"), (gnu.format(":", "General", ",", "3"), "gpl-3.0"), (gnu.format(";", "Lesser General", ";", "2.1"), "lgpl-2.1"), (gnu.format(":", "Lesser General", ",", "3"), "lgpl-3.0"),
+        (cc.format(""), "cc-by-4.0"), (cc.format("-NonCommercial"), "cc-by-nc-4.0"), (cc.format("-ShareAlike"), "cc-by-sa-4.0"), (cc.format("-NoDerivatives"), None),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (_, label) in enumerate(texts):
+        assert [x for x in got[i].split(",") if x not in ("", "gpl")] == ([label] if label else []), (i, got[i])
+
+
 def test_license_templates_and_phrases(spark, none):
     texts = ["Licensed under CC BY-NC 4.0. CC BY cc by", "Released under the terms of the MIT License!", "released under the mit licence", "Copyright 2020 by A. B.\nAll rights reserved.", None, "", "licensed under the GNU General Public License, version 3", "ÉCC BY", "x " * 5000 + "general public license"]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")).collect()}
