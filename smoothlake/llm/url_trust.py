@@ -2,7 +2,8 @@
 
 Hosts are vertices; an edge is a page of one host that links to another, weighted by the number of such
 links. Trust is personalised PageRank from the hosts with pages that a rule allows, each weighted by their
-number; distrust runs along the reversed edges from the hosts with pages that a rule blocks. A host is blocked where its distrust exceeds
+number; distrust runs along the reversed edges from the hosts with pages that a rule blocks. Both run until
+what still moves is below a tolerance, however long the way from a seed. A host is blocked where its distrust exceeds
 ``threshold`` times the sum of both. All of it is joins and sums over host tables; per round one table is
 written to the shared folder, and nothing but the table names reaches the driver.
 
@@ -13,6 +14,7 @@ repeated rows are judged row by row; an empty table gives an empty table; extra
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,15 +34,20 @@ RULES = (
 
 @dataclass(frozen=True)
 class TrustOptions:
-    """rules; damping and rounds of the propagation; threshold: share of distrust that blocks a host;
-    default: verdict of a host without any rank."""
+    """rules; damping of the propagation; tolerance: sum of what its ranks may still gain at the end (the seeds'
+    weights sum to one); threshold: share of distrust that blocks a host; default: verdict of a host without any rank."""
 
     rules: tuple[tuple[str, str, str], ...] = RULES
     damping: float = 0.85
-    rounds: int = 8
+    tolerance: float = 1e-13
     threshold: float = 0.5
     default: str = "allow"
 
+    @property
+    def rounds(self) -> int:
+        """Rounds after which the tolerance is met on any graph: a round leaves at most ``damping`` of what moves."""
+        return max(1, math.ceil(math.log(self.tolerance) / math.log(self.damping)))
+
 
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(_rest(url), r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,13 +79,18 @@ def _flow(edges: DataFrame, seeds: DataFrame, o: TrustOptions, name: str) -> Dat
     """
     total = seeds.agg(F.sum("n")).first()[0] or 1
     start = staged(seeds.select("host", (F.col("n") / F.lit(float(total))).alias("seed")), name)
-    rank = start.select("host", F.col("seed").alias("rank"))
+    kept = start.select("host", (F.lit(1 - o.damping) * F.col("seed")).alias("rank"))
+    # from these ranks on no rank falls, so that the gain of four rounds bounds all that is still to come
+    rank, before, left = kept, 0.0, o.damping**4 / (1 - o.damping**4)
     for i in range(o.rounds):
         moved = edges.join(rank, edges.src == rank.host).select(F.col("dst").alias("host"), (F.lit(o.damping) * F.col("rank") * F.col("share")).alias("rank"))
-        kept = start.select("host", (F.lit(1 - o.damping) * F.col("seed")).alias("rank"))
         rank = moved.unionByName(kept).groupBy("host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3 or i == o.rounds - 1:
             rank = staged(rank, name)
+            now = rank.agg(F.sum("rank")).first()[0] or 0.0
+            if (now - before) * left <= o.tolerance:
+                break
+            before = now
     return rank
 
 

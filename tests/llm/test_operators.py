@@ -99,6 +99,17 @@ def test_url_propagation_equals_power_iteration(spark):
             assert abs(got.get(h, (0, 0))[k] - r[i]) < 1e-12
 
 
+def test_url_propagation_runs_to_the_end_of_a_chain(spark):
+    """Trust along 14 hosts from a seed, distrust back along 14 to a blocked one: the closed form on a chain."""
+    chain = lambda kind, i: "a.org" if (kind, i) == ("t", 0) else "sub.example.org" if (kind, i) == ("d", 14) else f"{kind}{i}.net"
+    rows = [(i, f"http://{chain(k, i)}/{'es/' if (k, i) == ('d', 14) else ''}", f'<a href="http://{chain(k, i + 1)}/">' if i < 14 else "") for k in "td" for i in range(15)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in url_trust.judge(pages).collect()}
+    for i in range(15):
+        assert abs(got[chain("t", i)].trust - 0.15 * 0.85**i) < 1e-12 and abs(got[chain("d", 14 - i)].distrust - 0.15 * 0.85**i) < 1e-12
+        assert got[chain("t", i)].verdict == "allow" and got[chain("d", i)].verdict == "block"
+
+
 def test_license_notices_as_printed(spark):
     bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
     1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
