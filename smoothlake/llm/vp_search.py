@@ -6,8 +6,8 @@ folder; the shards' best are merged. A subtree is left out if the triangle inequ
 the current neighbours times ``factor``, excludes it: factor one is exact, smaller ones visit fewer leaves.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-with a null id; equal vectors are one point of the tree with its smallest ids (as many as can be asked for);
-ties go to the smaller id; a repeated id is a candidate like any other, but never of a query with that id;
+with a null id; vectors of equal direction are one point of the tree with its smallest ids (as many as can be
+asked for); points follow their smallest ids and ties go to the smaller id; a repeated id is a candidate like any other, but never of a query with that id;
 with fewer candidates than k all are returned; empty tables give an empty result.
 """
 
@@ -68,8 +68,13 @@ class VantageTree:
             d = np.concatenate([self.best[who], chord(q[who] @ points)], axis=1)
             i = np.concatenate([self.found[who], np.broadcast_to(at, (len(who), len(at)))], axis=1)
             pick = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(k), (len(who), 1))
+            if d.shape[1] > k:  # where more points are as near as the last one, the first of them
+                last = np.take_along_axis(d, pick, 1).max(axis=1, keepdims=True)
+                tied = np.flatnonzero((d <= last).sum(axis=1) > k)
+                if len(tied):
+                    pick[tied] = np.lexsort((i[tied], d[tied]))[:, :k]
             d, i = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
-            order = np.argsort(d, axis=1, kind="stable")
+            order = np.lexsort((i, d))
             self.best[who], self.found[who] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             return
         v, mu, inside, outside = node
@@ -129,12 +134,14 @@ def search(vectors: DataFrame, is_query, options: SearchOptions = SearchOptions(
         ids, raw = t.column("vec_id").to_numpy(), _matrix(t.column("vector"))
         order = np.lexsort((ids,))
         ids, raw = ids[order], raw[order]
-        keys = np.ascontiguousarray(raw).view([("", raw.dtype)] * raw.shape[1]).ravel()
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True) + 0.0  # no negative zeros
+        keys = unit.view([("", unit.dtype)] * unit.shape[1]).ravel()
         _, first, same = np.unique(keys, return_index=True, return_inverse=True)
-        points = raw[first]
+        by_id = np.argsort(first)  # rows are sorted by id
+        first, same = first[by_id], np.argsort(by_id)[same]
+        points, unit = raw[first], unit[first]
         by_point = np.argsort(same, kind="stable")
         begin = np.concatenate(([0], np.cumsum(np.bincount(same, minlength=len(first)))))
-        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
         norms = np.sqrt(np.einsum("ij,ij->i", points, points))
         tree = VantageTree(unit, o.leaf)
         fs, folder = file_system(place)

@@ -223,6 +223,20 @@ def test_vantage_search_is_exact_at_factor_one(spark):
     assert len(exact & {(r.query_id, r.vec_id) for r in fast}) >= 0.9 * len(exact)
 
 
+def test_vantage_search_gives_ties_to_smaller_ids(spark):
+    """Scaled copies of one vector, and axes that are all as far from the query."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    v, ids = rng.normal(size=16), rng.permutation(40).tolist()
+    rows = [(i, (v * 2.0 ** (j - 20)).tolist()) for j, i in enumerate(ids)] + [(100 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 16)))] + [(1000, (v + 0.1).tolist())]
+    axes = [(i, row.tolist()) for i, row in zip(rng.permutation(64).tolist(), np.eye(64), strict=True)]
+    for table, query in ((rows, 1000), (axes, 63), (axes, 0)):
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = sorted((r["rank"], r.vec_id) for r in vp_search.search(df, F.col("vec_id") == query, vp_search.SearchOptions(leaf=8)).collect())
+        assert [x for _, x in got] == [x for x in range(6) if x != query][:5]
+
+
 def test_ring_sharding(spark, docs, none):
     rows = sharding.place(docs).collect()
     text = sorted((i if i is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus())
