@@ -88,28 +88,82 @@ def word_list(text: str, pattern: re.Pattern = WORD) -> list[str]:
     return _LATIN[pattern].findall(text)
 
 
-class _Hashes(dict):
-    """Hashes of strings, computed where they are missing and kept while there is room."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = h
-        return h
+#: Characters of which one pass hashes the words at most; longer words are hashed one by one.
+RUN = 1 << 18
+_POWERS = np.empty(RUN + 1, np.uint64)
+_POWERS[0] = 1
+_POWERS[1:] = 0x9E3779B97F4A7C15
+np.multiply.accumulate(_POWERS, out=_POWERS)
+_LOWER = [ord(chr(c).lower()) for c in range(256)]  # of Latin-1, which it does not leave
+_VALUES = mix(np.array(_LOWER, np.uint64) + np.uint64(1))
+_IS_WORD = np.array([bool(WORD.fullmatch(chr(c))) for c in _LOWER])
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered within a bounded dictionary."""
+    """64-bit hashes of the lower-cased words of texts, whole batches at a time and without a string per word.
 
-    def __init__(self, most: int = 400_000):
-        self.known = _Hashes(most)
+    A word's hash is a polynomial in its characters' values, taken from running sums over the characters of
+    many texts at once. It depends on the word alone. Memory: some 40 bytes per character of ``RUN``, beside
+    the texts' characters and their words' hashes.
+    """
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.kind = np.full(0x110000, -1, np.int8)  # of characters beyond Latin-1: whether words hold them, as far as known
+
+    def _mask(self, codes: np.ndarray) -> np.ndarray:
+        if codes.dtype == np.uint8:
+            return _IS_WORD.take(codes)
+        kind = self.kind.take(codes)
+        if (kind < 0).any():
+            for c in np.unique(codes[kind < 0]).tolist():
+                self.kind[c] = bool(WORD.fullmatch(chr(c)))
+            kind = self.kind.take(codes)
+        return kind > 0
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words of all texts one after another, where each text's begin and the last one's end)."""
+        try:  # case is part of the tables
+            codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            texts = [t.lower() for t in texts]
+            codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+        mask = self._mask(codes)
+        edges = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            begin = int(starts[at])
+            to = int(np.searchsorted(ends, begin + RUN, "right"))
+            if to == at:  # a word longer than a run
+                word = codes[begin : ends[at]]
+                out[at] = xxhash.xxh64_intdigest((np.array(_LOWER, "<u4").take(word) if word.dtype == np.uint8 else word).tobytes())
+                at += 1
+                continue
+            part = codes[begin : ends[to - 1]]
+            values = _VALUES.take(part) if part.dtype == np.uint8 else mix(part.astype(np.uint64) + np.uint64(1))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values * _POWERS[: len(part)], out=sums[1:])
+            s, e = starts[at:to] - begin, ends[at:to] - begin
+            out[at:to] = mix((sums[e] - sums[s]) * _POWERS[RUN - s])
+            at = to
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return out, np.searchsorted(starts, first)
+
+    def of(self, text: str) -> np.ndarray:
+        return self([text])[0]
+
+
+def lots(texts: list[str], most: int = 1 << 15):
+    """(from, to) of runs of texts with about ``most`` characters each, few enough for the arrays to stay in cache."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def null_safe(c: str):

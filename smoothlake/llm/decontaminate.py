@@ -2,28 +2,37 @@
 
 Terms are hashed into a fixed number of columns and weighted by the inverse of the share of passages that
 hold them, counted over all documents. A distributed randomised SVD of TF-IDF passages (the benchmark's items,
-and with less weight those of all documents) gives a basis; every window of every document is
-projected into it and compared with every item by cosine, the window's length being that of the whole vector. Windows over the threshold are candidates, and the longest common subsequence of the item's
-words and the words around the window decides; where only part of it is there (a paraphrase), the item's
-answer, its last sentence, must be there too. An item whose words weigh so little that a verbatim copy among
+and with less weight those of all documents) gives a basis: every passage is added, with random signs, to a few
+rows of a small matrix, whose sum over all tasks keeps the passages' common directions; its singular vectors,
+together with the items', are the basis. Every window of every document is projected into it and compared with
+every item by cosine, the window's length being that of the whole vector; a window whose projection is too short
+for any item is not compared at all. Windows over the threshold are candidates, and the longest common subsequence
+of the item's words and the words around the window decides; where only part of it is there (a paraphrase), the
+item's answer, its last sentence, must be there too. An item whose words weigh so little that a verbatim copy among
 the heaviest words might stay under the threshold is looked up directly: each window around which enough of
 its words stand is a candidate.
 
-Edge cases: null or wordless texts and items match nothing; ties and repeated rows are reported row by row;
-empty tables give empty results; extra columns pass through where documents are returned.
+A benchmark of any size is searched in lots of items, each with a basis of its own from the one sketch of the
+passages; lots are files of the shared folder, of which a worker holds a few.
+
+Edge cases: null or wordless texts and items match nothing; very long texts are searched whole, in one task; ties
+and repeated rows are reported row by row; empty tables give empty results; extra columns pass through where
+documents are returned.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, WordHashes, staged, tune, word_list
+from ._common import WordHashes, file_system, lots, shared_dir, staged, tune
 
 SENTENCE = re.compile(r"[.!?\n]+")
 STEP = 8  # words of a block; windows are runs of blocks
@@ -31,47 +40,50 @@ STEP = 8  # words of a block; windows are runs of blocks
 
 @dataclass(frozen=True)
 class DecontaminationOptions:
-    """columns: hashed terms (a power of two). rank: of the basis. power: power iterations. passage: words of a
-    passage. common: natural logarithm of the frequency discount; terms in more than exp(-common) of the passages
+    """columns: hashed terms (a power of two). rank: of the basis. passage: words of a passage. common: natural
+    logarithm of the frequency discount; terms in more than exp(-common) of the passages
     carry no weight. background: weight of the passages of all documents in the fit, as a share of the items'.
-    part: words whose sum a task of the fit hands on at once.
-    windows: lengths in words, each moved by half its length. cosine: least latent cosine of a candidate.
+    sketch: rows of the passages' sketch. signs: rows to which a passage is added.
+    part: words whose sketch a task of the fit hands on at once.
+    windows: lengths in words, multiples of 16, each moved by half its length. cosine: least latent cosine of a candidate.
     verbatim: least share of the item's words in order for a match without an answer check. paraphrase:
-    least share with one. answer: least share of the answer's words in order. items_per_pass: a larger
-    benchmark is searched in lots, each with a basis of its own."""
+    least share with one. answer: least share of the answer's words in order. items_per_pass: items of a lot.
+    held: lots that a worker keeps at once."""
 
     columns: int = 8192
     rank: int = 192
-    power: int = 1
     passage: int = 32
     common: float = 1.0
     background: float = 0.1
-    part: int = 1 << 22
+    sketch: int = 256
+    signs: int = 4
+    part: int = 1 << 24
     windows: tuple[int, ...] = (16, 32, 64)
     cosine: float = 0.3
     verbatim: float = 0.8
     paraphrase: float = 0.6
     answer: float = 0.7
     items_per_pass: int = 224
+    held: int = 4
 
 
 @dataclass
 class Item:
     item_id: int
-    words: list[str]
-    masks: dict[str, int]
-    answer_masks: dict[str, int]
+    words: list[int]  # their hashes
+    masks: dict[int, int]
+    answer_masks: dict[int, int]
     answer_words: int
 
 
-def _masks(words: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def _masks(words: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | (1 << i)
     return out
 
 
-def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
+def common_subsequence(masks: dict, n: int, words: list) -> int:
     """Length of the longest common subsequence, a bit per word of the first text."""
     full = (1 << n) - 1
     v = full
@@ -83,16 +95,15 @@ def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
     return n - v.bit_count()
 
 
-def item_of(item_id: int, text: str) -> Item | None:
-    words = word_list(text)
+def item_of(item_id: int, text: str, hashes: WordHashes) -> Item | None:
+    words = hashes.of(text).tolist()
     if not words:
         return None
-    sentences = [s for s in (word_list(x) for x in SENTENCE.split(text)) if s]
-    answer = sentences[-1]
+    answer = [s for s in (hashes.of(x).tolist() for x in SENTENCE.split(text)) if s][-1]
     return Item(item_id, words, _masks(words), _masks(answer), len(answer))
 
 
-def verified(item: Item, region: list[str], o: DecontaminationOptions) -> tuple[float, bool] | None:
+def verified(item: Item, region: list[int], o: DecontaminationOptions) -> tuple[float, bool] | None:
     """(share of the item's words found in order, whether the answer is there) of a match, else None."""
     n = len(item.words)
     # words that the region lacks cannot be in order: a bound that spares most candidates the alignment
@@ -111,17 +122,22 @@ def _columns(hashes: np.ndarray, columns: int) -> np.ndarray:
 
 def passages_of(documents: DataFrame, o: DecontaminationOptions) -> DataFrame:
     """A written table of the columns of all words, two bytes each: passages of a text, the last one filled up
-    with ``columns``. Words are split once for the frequencies and every pass of the fit."""
+    with ``columns``. Words are split once for the frequencies and the fit."""
     most = max(1, (1 << 18) // o.passage) * o.passage
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            rows, size = [], 0
-            for text in b.column("text").to_pylist():
-                c = _columns(hashes(word_list(text)), o.columns).astype("<u2")
-                rows += [c, np.full(-len(c) % o.passage, o.columns, "<u2")]
-                size += len(rows[-2]) + len(rows[-1])
+            texts, rows, size = b.column("text").to_pylist(), [], 0
+            for lo, hi in lots(texts):
+                h, begin = hashes(texts[lo:hi])
+                n = np.diff(begin)
+                full = -(-n // o.passage) * o.passage
+                shift = np.cumsum(full) - full - begin[:-1]
+                c = np.full(full.sum(), o.columns, "<u2")
+                c[np.arange(len(h)) + np.repeat(shift, n)] = _columns(h, o.columns)
+                rows.append(c)
+                size += len(c)
                 if size >= most:
                     yield from cut(rows)
                     rows, size = [], 0
@@ -160,84 +176,92 @@ def inverse_frequencies(counts: np.ndarray, o: DecontaminationOptions) -> np.nda
     return np.maximum(-np.log(share) - o.common, 0.0).astype(np.float32)
 
 
-def _add_gram_times(total: np.ndarray, cols: np.ndarray, idf: np.ndarray, q: np.ndarray) -> None:
-    """Adds A'(A q) of TF-IDF passages to ``total``, short of the last factor ``idf``. ``cols`` holds a passage in
-    each row, ``len(idf)`` where there is no word; the last row of ``q``, which is weighted by ``idf``, is zero."""
-    size = cols.shape[1]
-    squares = np.append(idf * idf, np.float32(0))
-    step = max(1, 2048 // size)
-    for lo in range(0, len(cols), 32 * step):
-        part = cols[lo : lo + 32 * step]
-        y = np.empty((len(part), q.shape[1]), np.float32)
-        for at in range(0, len(part), step):
-            y[at : at + step] = q[part[at : at + step]].sum(axis=1)
-        y /= np.maximum(squares[part].sum(axis=1), 1e-12)[:, None]
-        flat = part.ravel()
-        order = np.flatnonzero(squares[flat] > 0)
-        if len(order):
-            order = order[np.argsort(flat[order], kind="stable")]
-            c = flat[order]
-            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            total[c[first]] += np.add.reduceat(y[order // size], first, axis=0)
-
-
-def latent_basis(passages: DataFrame, items: list[Item], counts: np.ndarray, o: DecontaminationOptions) -> np.ndarray:
-    """Each term's weighted coordinates and, last, its squared weight. Randomised range finding with power
-    iterations; each pass goes over all passages and sums one small matrix per part."""
+def add_sketch(total: np.ndarray, cols: np.ndarray, idf: np.ndarray, rng, signs: int) -> None:
+    """Adds TF-IDF passages of length one to ``signs`` random rows of ``total`` each, with random signs: the sum's
+    Gram matrix is in expectation the passages'. ``cols`` holds a passage in each row, ``len(idf)`` where there is
+    no word."""
+    weight = np.append(idf, np.float32(0))
+    step = 2048
+    for lo in range(0, len(cols), step):
+        c = cols[lo : lo + step]
+        w = weight[c]
+        w = w / np.sqrt(np.maximum((w * w).sum(axis=1, keepdims=True), 1e-12) * signs)
+        rows = rng.integers(0, len(total), (len(c), signs))
+        flip = rng.integers(0, 2, rows.shape) * 2.0 - 1.0
+        flat = (rows[:, :, None] * total.shape[1] + c[:, None, :]).ravel()
+        np.add.at(total.reshape(-1), flat, (flip[:, :, None] * w[:, None, :]).ravel())
+
+
+def sketch(passages: DataFrame, counts: np.ndarray, o: DecontaminationOptions) -> tuple[np.ndarray, int]:
+    """(sketch of the passages of all documents, their number), in one pass: a small matrix per part, summed row by
+    row on the executors. Draws follow the contents of each row of ``passages``, so a repeated task draws the same."""
     spark = passages.sparkSession
-    rng = np.random.default_rng(20)
-    idf = inverse_frequencies(counts, o)
-    q = rng.standard_normal((o.columns, o.rank + 8)).astype(np.float32)
     # partial sums in proportion to the words, however many files the table has
     parts = passages.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // o.part)))
-    hashes = WordHashes()
-    own = np.full((len(items), max(len(i.words) for i in items)), o.columns, np.int64)
+    idf = inverse_frequencies(counts, o)
+    columns, rows, signs, size = o.columns, o.sketch, o.signs, o.passage
+
+    def run(batches):
+        total, n = np.zeros((rows, columns + 1)), 0
+        for b in batches:
+            for c in b.column("c").to_pylist():
+                cols = np.frombuffer(c, "<u2").astype(np.int64).reshape(-1, size)
+                add_sketch(total, cols, idf, np.random.default_rng(zlib.crc32(c)), signs)
+                n += len(cols)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array([x[:columns].astype(np.float32).tobytes() for x in total], pa.binary()), pa.array([n] * rows, pa.int64())], ["at", "m", "n"])
+
+    def add(batches):  # rows come sorted: one sum at a time, however many parts there are
+        at, m, n = None, None, 0
+        for b in batches:
+            for k, x, more in zip(*(b.column(c).to_pylist() for c in ("at", "m", "n")), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield out(at, m, n)
+                    at, m, n = k, np.zeros(columns), 0
+                m += np.frombuffer(x, np.float32)
+                n += more
+        if at is not None:
+            yield out(at, m, n)
+
+    def out(at, m, n):
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([m.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["at", "m", "n"])
+
+    schema, got, n = "at int, m binary, n long", np.zeros((rows, columns), np.float32), 0
+    for at, m, n in parts.mapInArrow(run, schema).repartition("at").sortWithinPartitions("at").mapInArrow(add, schema).collect():
+        got[at] = np.frombuffer(m, np.float32)
+    return got, n
+
+
+def latent_basis(items: list[Item], idf: np.ndarray, sketched: np.ndarray, n: int, o: DecontaminationOptions) -> np.ndarray:
+    """Each term's weighted coordinates and, last, its squared weight: the leading right singular vectors of the
+    items' rows over the sketch of all passages."""
+    own = np.zeros((len(items), o.columns), np.float32)
     for row, i in zip(own, items, strict=True):
-        row[: len(i.words)] = _columns(hashes(i.words), o.columns)
-    block, size = 64, o.passage
-
-    for _ in range(o.power + 1):
-        weighted = np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]), np.float32)])
-        shipped = spark.sparkContext.broadcast((idf, weighted))
-
-        def run(batches):
-            idf, weighted = shipped.value
-            total, n = np.zeros((len(idf), weighted.shape[1])), 0
-            for b in batches:
-                for c in b.column("c").to_pylist():
-                    cols = np.frombuffer(c, "<u2").astype(np.int64).reshape(-1, size)
-                    _add_gram_times(total, cols, idf, weighted)
-                    n += len(cols)
-            if n:
-                at = range(0, len(total), block)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + block].astype(np.float32).tobytes() for i in at], pa.binary()), pa.array([n] * len(at), pa.int64())], ["at", "m", "n"])
-
-        def add(pdf):
-            m = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["m"])
-            return pdf.iloc[:1].assign(m=[m.astype(np.float32).tobytes()], n=pdf["n"].sum())
-
-        y = np.zeros(q.shape)
-        _add_gram_times(y, own, idf, weighted)
-        for at, m, n in parts.mapInArrow(run, "at int, m binary, n long").groupBy("at").applyInPandas(add, "at int, m binary, n long").collect():
-            y[at : at + block] += o.background * len(own) / n * np.frombuffer(m, np.float32).reshape(-1, q.shape[1])
-        shipped.unpersist()
-        y = (y * idf[:, None]).astype(np.float32)
-        q = np.linalg.qr(y + 1e-8 * rng.standard_normal(y.shape).astype(np.float32))[0].astype(np.float32)
-    return np.hstack([q[:, : o.rank] * idf[:, None], (idf * idf)[:, None]])
+        c = _columns(np.array(i.words, np.uint64), o.columns)
+        np.add.at(row, c, idf[c])
+        row /= np.sqrt(max(float((idf[c] ** 2).sum()), 1e-12))
+    a = np.vstack([own, np.sqrt(o.background * len(items) / max(n, 1)).astype(np.float32) * sketched]).astype(np.float64)
+    s, u = np.linalg.eigh(a @ a.T)
+    use = np.argsort(-s)[: o.rank]
+    use = use[s[use] > 1e-10 * max(s.max(), 1e-300)]
+    q = np.zeros((o.columns, o.rank), np.float32)
+    q[:, : len(use)] = a.T @ (u[:, use] / np.sqrt(s[use]))
+    return np.hstack([q * idf[:, None], (idf * idf)[:, None]])
 
 
 class Searcher:
-    """Finds the items of one pass in texts."""
+    """Finds the items of one lot in texts."""
 
     def __init__(self, items: list[Item], terms: np.ndarray, o: DecontaminationOptions):
-        self.items, self.o, self.hashes = items, o, WordHashes()
+        self.items, self.o = items, o
         self.terms = np.concatenate([terms, np.zeros((1, terms.shape[1]), np.float32)])
-        z = np.stack([terms[_columns(self.hashes(i.words), o.columns), :-1].sum(axis=0) for i in items])
+        own = [_columns(np.array(i.words, np.uint64), o.columns) for i in items]
+        z = np.stack([terms[c, :-1].sum(axis=0) for c in own])
         self.z = np.ascontiguousarray((z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).T)
         self.direct: list[tuple[int, np.ndarray]] = []  # items that the cosine might miss, and which columns are theirs
         least, heaviest = np.minimum((terms[:, :-1] @ self.z).min(axis=0), 0.0), terms[:, -1].max()
-        for k, i in enumerate(items):
-            c = _columns(self.hashes(i.words), o.columns)
+        for k, c in enumerate(own):
             if self._least_cosine(c, self.z[:, k], least[k], heaviest) < 1.01 * o.cosine:
                 member = np.zeros(len(self.terms), bool)
                 member[c] = True
@@ -258,117 +282,146 @@ class Searcher:
             best = np.maximum(best, ((inner[hi] - inner[lo] + beside * least) / length).max(axis=1))
         return float(best.min())
 
-    def search(self, texts: list[str | None]) -> list[list[tuple[int, float, bool]]]:
-        found: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
-        lot: list[int] = []
-        words: list[list[str]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            w = word_list(text) if text else []
-            if w:
-                lot.append(i)
-                words.append(w)
-                size += len(w)
-            if size > 40_000 or (i == len(texts) - 1 and lot):
-                self._search(lot, words, found)
-                lot, words, size = [], [], 0
-        return found
-
-    def _search(self, lot, words, found) -> None:
+    def search(self, h: np.ndarray, begins: np.ndarray) -> list[list[tuple[int, float, bool]]]:
+        """(item_id, share, answer) of the items found in each text, given the hashes of the texts' words."""
         o = self.o
-        blocks = [-(-len(w) // STEP) for w in words]
+        found: list[list[tuple[int, float, bool]]] = [[] for _ in begins[1:]]
+        n = np.diff(begins)
+        blocks = -(-n // STEP)
         begin = np.concatenate(([0], np.cumsum(blocks)))
         cols = np.full((begin[-1] + max(o.windows) // STEP) * STEP, len(self.terms) - 1, np.int64)
-        for w, at in zip(words, begin, strict=False):
-            cols[at * STEP : at * STEP + len(w)] = _columns(self.hashes(w), o.columns)
-        sums = np.zeros((len(cols) // STEP + 1, self.terms.shape[1]), np.float32)
-        for lo in range(0, len(cols) // STEP, 2048):
-            part = cols[lo * STEP : (lo + 2048) * STEP]
-            sums[lo + 1 : lo + 1 + len(part) // STEP] = self.terms[part].reshape(-1, STEP, self.terms.shape[1]).sum(axis=1)
-        sums = np.cumsum(sums, axis=0, dtype=np.float64)
+        cols[np.arange(len(h)) + np.repeat(begin[:-1] * STEP - begins[:-1], n)] = _columns(h, o.columns)
+        sums = np.empty((len(cols) // STEP, self.terms.shape[1]), np.float32)
+        for lo in range(0, len(sums), 128):
+            part = cols[lo * STEP : (lo + 128) * STEP]
+            self.terms.take(part, axis=0).reshape(-1, STEP, self.terms.shape[1]).sum(axis=1, out=sums[lo : lo + 128])
         best: dict[tuple[int, int], tuple[float, bool]] = {}
         for size in o.windows:
-            m = size // STEP
-            starts = np.arange(0, begin[-1], max(1, m // 2))
-            for lo in range(0, len(starts), 4096):
-                s = starts[lo : lo + 4096]
-                z = (sums[s + m] - sums[s]).astype(np.float32)
-                length = np.sqrt(np.maximum(z[:, -1:], 1e-9))
-                at, item = np.nonzero(z[:, :-1] @ self.z >= o.cosine * length)
-                for b, k in zip(s[at].tolist(), item.tolist(), strict=True):
-                    self._align(b, size, k, words, begin, best)
+            m = size // STEP // 2  # blocks of half a window, by which windows move
+            halves = sums[: len(sums) // m * m].reshape(-1, m, sums.shape[1]).sum(axis=1) if m > 1 else sums
+            z = halves[:-1] + halves[1:]
+            bound = o.cosine * np.sqrt(np.maximum(z[:, -1], 1e-9))
+            # a projection is at least as long as its component along any item
+            near = np.flatnonzero(np.einsum("ij,ij->i", z[:, :-1], z[:, :-1]) >= 0.999 * bound * bound)
+            for lo in range(0, len(near), 4096):
+                s = near[lo : lo + 4096]
+                at, item = np.nonzero(z[s, :-1] @ self.z >= bound[s, None])
+                for b, k in zip((s[at] * m).tolist(), item.tolist(), strict=True):
+                    self._align(b, size, k, h, begins, begin, best)
         size = max(o.windows)
         starts = np.arange(0, begin[-1], max(1, size // STEP // 2))
         for k, member in self.direct:
-            n = len(self.items[k].words)
             held = np.concatenate(([0], np.cumsum(member[cols].reshape(-1, STEP).sum(axis=1))))
-            reach = -(-n // STEP)
+            reach = -(-len(self.items[k].words) // STEP)
             around = held[np.minimum(starts + size // STEP + reach, len(held) - 1)] - held[np.maximum(starts - reach, 0)]
-            for b in starts[around >= o.paraphrase * n].tolist():
-                self._align(b, size, k, words, begin, best)
+            for b in starts[around >= o.paraphrase * len(self.items[k].words)].tolist():
+                self._align(b, size, k, h, begins, begin, best)
         for (d, k), got in best.items():
-            found[lot[d]].append((self.items[k].item_id, *got))
+            found[d].append((self.items[k].item_id, *got))
+        return found
 
-    def _align(self, b: int, size: int, k: int, words, begin, best) -> None:
+    def _align(self, b: int, size: int, k: int, h, begins, begin, best) -> None:
         """Aligns an item with the words around the window at block ``b``, in each text the window touches."""
         d = int(np.searchsorted(begin, b, "right")) - 1
-        while d < len(words) and begin[d] < b + size // STEP:
+        while d < len(begin) - 1 and begin[d] < b + size // STEP:
             if best.get((d, k), (0.0,))[0] < 1.0:
                 x = self.items[k]
                 n = len(x.words)
-                lo_w = (b - int(begin[d])) * STEP
-                got = verified(x, words[d][max(0, lo_w - n) : lo_w + size + n], self.o)
+                lo = (b - int(begin[d])) * STEP
+                first = int(begins[d])
+                got = verified(x, h[first + max(0, lo - n) : min(first + lo + size + n, int(begins[d + 1]))].tolist(), self.o)
                 if got:
                     best[d, k] = max(got, best.get((d, k), got))
             d += 1
 
 
-def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptions):
-    """Broadcast lots of items with the projected terms; a lot holds at most ``items_per_pass`` items."""
+def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptions) -> list[str]:
+    """Paths of the lots: files of at most ``items_per_pass`` items' texts with their projected terms."""
     spark = documents.sparkSession
     tune(spark)
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text").collect()
-    items = [x for x in (item_of(i, t) for i, t in rows) if x]
-    if not items:
-        return []
-    passages = passages_of(documents, o)
-    counts = term_counts(passages, o.columns)
-    lots = [items[lo : lo + o.items_per_pass] for lo in range(0, len(items), o.items_per_pass)]
-    return [spark.sparkContext.broadcast((lot, latent_basis(passages, lot, counts, o))) for lot in lots]
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text").toLocalIterator()
+    hashes, sketched, paths = WordHashes(), None, []
+    found = ((i, t, x) for i, t in rows if (x := item_of(i, t, hashes)))
+    folder = shared_dir(spark, "lots")
+    fs, place = file_system(folder)
+    while lot := list(islice(found, o.items_per_pass)):
+        if sketched is None:
+            passages = passages_of(documents, o)
+            counts = term_counts(passages, o.columns)
+            idf, sketched = inverse_frequencies(counts, o), sketch(passages, counts, o)
+            fs.create_dir(place, recursive=True)
+        terms = latent_basis([x for *_, x in lot], idf, *sketched, o)
+        texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in lot]
+        paths.append(f"{folder}/{len(paths):06d}.npz")
+        with fs.open_output_stream(f"{place}/{len(paths) - 1:06d}.npz") as f:
+            np.savez(f, terms=terms, ids=np.array([i if i is not None else 0 for i, *_ in lot]), known=np.array([i is not None for i, *_ in lot]), sizes=np.array([len(t) for t in texts]), texts=np.frombuffer(b"".join(texts), np.uint8))
+    return paths
+
+
+def _searcher(path: str, hashes: WordHashes, o: DecontaminationOptions) -> Searcher:
+    import io
+
+    fs, place = file_system(path)
+    with fs.open_input_file(place) as f:
+        saved = np.load(io.BytesIO(f.read()))
+        ends = np.cumsum(saved["sizes"])
+        raw = saved["texts"].tobytes()
+        items = [item_of(int(i) if k else None, raw[e - n : e].decode("utf-8", "surrogatepass"), hashes) for i, k, n, e in zip(saved["ids"], saved["known"], saved["sizes"], ends, strict=True)]
+        return Searcher(items, saved["terms"], o)
+
+
+class Search:
+    """Searches batches of texts lot by lot, holding a few lots at a time."""
+
+    def __init__(self, paths: list[str], o: DecontaminationOptions):
+        self.paths, self.o, self.hashes, self.known = paths, o, WordHashes(), {}
+
+    def _lot(self, path: str) -> Searcher:
+        if path not in self.known:
+            if len(self.known) >= self.o.held:
+                self.known.pop(next(iter(self.known)))
+            self.known[path] = _searcher(path, self.hashes, self.o)
+        return self.known[path]
+
+    def __call__(self, texts: list[str | None]) -> list[list[tuple[int, float, bool]]]:
+        found: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
+        texts = [t or "" for t in texts]
+        for path in self.paths:
+            s = self._lot(path)
+            for lo, hi in lots(texts):
+                for to, hits in zip(found[lo:hi], s.search(*self.hashes(texts[lo:hi])), strict=True):
+                    to += hits
+        return found
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
     """doc_id, item_id, share, answer: one row per document and benchmark item found in it."""
-    lots = _prepare(documents, benchmark, options)
+    paths = _prepare(documents, benchmark, options)
     schema = "doc_id long, item_id long, share double, answer boolean"
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("answer", pa.bool_())])
 
     def run(batches):
-        searchers = [Searcher(*lot.value, options) for lot in lots]
+        search = Search(paths, options)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            rows = [(ids[i], *x) for s in searchers for i, hits in enumerate(s.search(texts)) for x in hits]
+            rows = [(ids[i], *x) for i, hits in enumerate(search(texts)) for x in hits]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    if not lots:
+    if not paths:
         return documents.sparkSession.createDataFrame([], schema)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
     """The documents in which no benchmark item was found, with all their columns."""
-    lots = _prepare(documents, benchmark, options)
-    if not lots:
+    paths = _prepare(documents, benchmark, options)
+    if not paths:
         return documents
 
     def run(batches):
-        searchers = [Searcher(*lot.value, options) for lot in lots]
+        search = Search(paths, options)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            hit = np.zeros(len(texts), bool)
-            for s in searchers:
-                hit |= [bool(x) for x in s.search(texts)]
-            yield b.filter(pa.array(~hit))
+            yield b.filter(pa.array([not hits for hits in search(b.column("text").to_pylist())], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, WordHashes, mix, staged, tune, word_list
+from ._common import WordHashes, lots, mix, staged, tune
 from .components import components
 
 
@@ -124,6 +124,13 @@ def aligned(x: np.ndarray, y: np.ndarray, similarity: float) -> float:
     return len(tails) / (n + m - len(tails))
 
 
+def _words(hashes: WordHashes, texts: list[str]):
+    """The hashes of each text's words."""
+    for lo, hi in lots(texts):
+        h, begin = hashes(texts[lo:hi])
+        yield from np.split(h, begin[1:-1])
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.withColumn("node", F.unhex(F.md5(F.col("text"))))
 
@@ -133,11 +140,11 @@ def _sketched(texts: DataFrame, o: DedupOptions) -> DataFrame:
     out = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
-        words = WordHashes()
+        hashes = WordHashes()
         for b in batches:
             rows = [[], [], [], []]
-            for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = kmer_hashes(words(word_list(text)), o.k)
+            for node, words in zip(b.column("node").to_pylist(), _words(hashes, b.column("text").to_pylist()), strict=True):
+                h = kmer_hashes(words, o.k)
                 if len(h):
                     for to, v in zip(rows, (node, len(h), order_sketches(h, o.sketches, o.sample).view(np.int64).tolist(), signature(h, o.bins)), strict=True):
                         to.append(v)
@@ -150,9 +157,9 @@ def _kmers(texts: DataFrame, o: DedupOptions) -> DataFrame:
     """(node, h): 32-bit labelled k-mers, for alignment."""
 
     def run(batches):
-        words = WordHashes()
+        hashes = WordHashes()
         for b in batches:
-            h = [(kmer_hashes(words(word_list(t)), o.k) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            h = [(kmer_hashes(words, o.k) >> np.uint64(32)).astype("<u4").tobytes() for words in _words(hashes, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(h, pa.binary())], ["node", "h"])
 
     return texts.mapInArrow(run, "node binary, h binary")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from smoothlake.llm import decontaminate, language_id, license_scan, near_dedup, packing, range_coder, sharding, token_files, url_trust, vp_search, warc
-from smoothlake.llm._common import WordHashes
+from smoothlake.llm._common import WORD, WordHashes
 from smoothlake.llm.components import components
 from smoothlake.llm.tokens import Encoder, default_tokenizer
 
@@ -366,8 +366,8 @@ def _prefix(m, prefix, c):
 
 def brute_classes(rows, least=0.8):
     hashes = WordHashes()
-    texts = sorted({t for _, t, *_ in rows if t and near_dedup.WORD.search(t)})
-    h = {t: near_dedup.kmer_hashes(hashes(near_dedup.WORD.findall(t.lower())), 5) for t in texts}
+    texts = sorted({t for _, t, *_ in rows if t and WORD.search(t)})
+    h = {t: near_dedup.kmer_hashes(hashes.of(t), 5) for t in texts}
     parent = {t: t for t in texts}
 
     def root(t):
@@ -493,29 +493,45 @@ def test_decontamination_of_frequent_words(spark):
 
 
 def test_decontamination_basis_is_fitted_on_all_documents(spark):
-    """More than 4,000 documents, under distinct ids and under a single one: the same basis, that of all passages."""
+    """Against the exact decomposition of all passages: more than 4,000 documents, under distinct ids and under a
+    single one. The basis holds nearly as much of the passages as the best one of its rank."""
     rng = random.Random(13)
     stock = [f"w{j}" for j in range(300)]
     texts = [words(rng, 40, stock[(i % 4) * 60 :][:120]) for i in range(4400)]
     bench = spark.createDataFrame([(1, " ".join(stock[5:40]))], "item_id long, text string")
     o = decontaminate.DecontaminationOptions(rank=4)
-    some = [decontaminate._prepare(spark.createDataFrame([(i if distinct else 5, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), bench, o)[0].value for distinct in (True, False)]
-    assert np.allclose(some[0][1], some[1][1], atol=2e-3)
     hashes, columns = WordHashes(), 8192
-    cols = [(hashes(p) >> np.uint64(51)).astype(int) for t in texts for p in [t.split()[:32], t.split()[32:]]]
-    own = (hashes(stock[5:40]) >> np.uint64(51)).astype(int)
-    idf = np.sqrt(some[0][1][:, -1].astype(float))
-    use = np.unique(np.concatenate([*cols, own]))
-    a = np.zeros((len(cols) + 1, columns))
-    for row, c, weight in zip(a, [*cols, own], [0.1 / len(cols)] * len(cols) + [1.0], strict=True):
-        np.add.at(row, c, idf[c] * np.sqrt(weight / (idf[c] ** 2).sum()))
-    a = a[:, use]
-    draws = np.random.default_rng(20)
-    q = draws.standard_normal((columns, 12)).astype(np.float32)[use].astype(float)
-    for _ in range(o.power + 1):
-        q = np.linalg.qr(a.T @ (a @ q))[0]
-    mine = some[0][1][use, :4] / idf[use, None]
-    assert np.allclose(np.abs((mine * q[:, :4]).sum(axis=0)), 1.0, atol=1e-3)
+    column = lambda w: (hashes.of(" ".join(w)) >> np.uint64(51)).astype(int)
+    cols = [column(p) for t in texts for p in [t.split()[:32], t.split()[32:]]]
+    own = column(stock[5:40])
+    for distinct in (True, False):
+        (path,) = decontaminate._prepare(spark.createDataFrame([(i if distinct else 5, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), bench, o)
+        terms = np.load(path.removeprefix("file://"))["terms"].astype(float)
+        idf = np.sqrt(terms[:, -1])
+        n = np.bincount(np.concatenate(cols), minlength=columns)
+        share = 1 - (1 - (n + 0.5) / (n.sum() + 1)) ** o.passage
+        assert np.allclose(idf, np.maximum(-np.log(share) - o.common, 0), atol=1e-5)  # counted over all words
+        use = np.unique(np.concatenate([*cols, own]))
+        a = np.zeros((len(cols) + 1, columns))
+        for row, c, weight in zip(a, [*cols, own], [0.1 / len(cols)] * len(cols) + [1.0], strict=True):
+            np.add.at(row, c, idf[c] * np.sqrt(weight / (idf[c] ** 2).sum()))
+        a = a[:, use]
+        mine = terms[use, :4] / idf[use, None]
+        assert np.allclose(mine.T @ mine, np.eye(4), atol=1e-4)
+        best = np.linalg.svd(a, compute_uv=False)[:4]
+        assert ((a @ mine) ** 2).sum() >= 0.99 * (best**2).sum()
+        rest = best[1:]  # and of the documents' own directions
+        assert ((a[:-1] @ mine) ** 2).sum() >= 0.6 * (np.linalg.svd(a[:-1], compute_uv=False)[:4] ** 2).sum() and len(rest) == 3
+
+
+def test_decontamination_in_lots(spark):
+    """More items than a lot holds, more lots than a worker holds."""
+    rng = random.Random(21)
+    items = [words(rng, 20, [f"i{k}x{j}" for j in range(30)]) for k in range(25)]
+    rows = [(k, words(rng, 30, [f"w{j}" for j in range(200)]) + " " + (items[k] if k < 25 else "") + " tail") for k in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, decontaminate.DecontaminationOptions(items_per_pass=4, held=2)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(25)]
 
 
 def test_common_subsequence():
@@ -529,6 +545,22 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(decontaminate._masks(a), len(a), b) == t[-1][-1]
 
 
+def test_word_hashes_are_those_of_the_words():
+    """Equal for equal words, different for others, in any company, beside other alphabets and across runs."""
+    from smoothlake.llm._common import RUN, lots
+
+    texts = ["The  the x_y 42", "", "É été ÀÉ", "Σίσυφος İstanbul 漢字 the", "...", "a" * (RUN + 9) + " the été " + "b" * 9, "été " * 70_000, "\u212Aelvin kelvin"]
+    hashes, seen = WordHashes(), {}
+    h, begin = hashes(texts)
+    for t, lo, hi in zip(texts, begin, begin[1:], strict=False):
+        mine = WORD.findall(t.lower())
+        assert len(mine) == hi - lo and (hashes.of(t) == h[lo:hi]).all()
+        for w, x in zip(mine, h[lo:hi].tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    assert [i for lo, hi in lots(texts, 20) for i in range(lo, hi)] == list(range(len(texts))) and list(lots([])) == []
+
+
 def test_word_lists_are_those_of_the_plain_patterns():
     from smoothlake.llm._common import LETTERS, WORD, word_list
 
