@@ -1,12 +1,12 @@
 """Token-id files: whole corpora of ids in ascending document order, range coded in checksummed blocks.
 
-A file holds sections of at most ``SECTION`` ids; a section is a header, a table of its blocks (bytes and
-CRC-32 of the ids) and the blocks, each decodable on its own. The documents' ids and lengths follow, and a
-footer says where. Files are written under a name of their task's attempt; only the names that the finished
+A file holds sections of at most ``SECTION`` ids; a section is a header, its ids' frequencies, a table of its blocks
+(bytes and CRC-32 of the ids) and the blocks, each decodable on its own. The documents' ids and lengths follow, and a
+footer says where; all of it is checksummed, and reading a damaged file raises ValueError. Files are written under a name of their task's attempt; only the names that the finished
 tasks returned are read, so a lost or repeated task leaves nothing wrong behind.
 
-Edge cases: a null or empty text is its end id alone; repeated document ids stand one after another, in the
-order of their texts; null ids come first; an empty table gives no file and an empty result; extra columns
+Edge cases: a null or empty text is its end id alone; repeated document ids stand one after another, in an
+order that their texts decide, and may be dealt over several files; null ids come first; very long texts are encoded whole; an empty table gives no file and an empty result; extra columns
 are ignored.
 """
 
@@ -27,9 +27,9 @@ from . import range_coder
 from ._common import file_system, scan_partitions, shared_dir, staged, tune
 from .tokens import default_tokenizer, encoder
 
-MAGIC, SECTION_MAGIC = b"SLTOKEN1", b"SECT"
-SECTION = range_coder.BLOCK * 8192
-FOOTER = struct.Struct("<QQ8s")  # place of the document table, documents, magic
+MAGIC, SECTION_MAGIC = b"SLTOKEN2", b"SECT"
+SECTION = range_coder.LARGEST * range_coder.LANES
+FOOTER = struct.Struct("<QQI8s")  # place of the document table, documents, checksum of the table, magic
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,8 @@ class TokenFileOptions:
 class Writer:
     """Writes one file to an open binary stream."""
 
-    def __init__(self, stream, largest_id: int):
-        self.stream, self.shift = stream, range_coder.class_shift(largest_id)
+    def __init__(self, stream):
+        self.stream = stream
         self.held: list[bytes] = []
         self.size = 0
         self.documents: list[tuple[int | None, int]] = []
@@ -65,22 +65,17 @@ class Writer:
         ids = b"".join(self.held)
         ids, rest = ids[: 4 * n], ids[4 * n :]
         self.held, self.size = [rest] if rest else [], len(rest) // 4
-        blocks = -(-n // range_coder.BLOCK)
-        padded = np.zeros(blocks * range_coder.BLOCK, np.uint32)
-        padded[:n] = np.frombuffer(ids, "<u4")
-        parts = range_coder.encode(padded.reshape(blocks, -1), self.shift)
-        step = 4 * range_coder.BLOCK
-        table = np.array([(len(p), zlib.crc32(ids[i * step : (i + 1) * step])) for i, p in enumerate(parts)], "<u4")
-        self._put(SECTION_MAGIC + struct.pack("<QII", n, blocks, self.shift) + table.tobytes())
-        self._put(b"".join(parts))
+        self._put(SECTION_MAGIC)
+        self._put(range_coder.encode_section(np.frombuffer(ids, "<u4")))
 
     def close(self) -> None:
         if self.size:
             self._section(self.size)
         at = self.place
         known = np.array([d is not None for d, _ in self.documents], np.uint8)
-        self._put(known.tobytes() + np.array([d or 0 for d, _ in self.documents], "<i8").tobytes() + np.array([n for _, n in self.documents], "<u8").tobytes())
-        self._put(FOOTER.pack(at, len(self.documents), MAGIC))
+        table = known.tobytes() + np.array([d or 0 for d, _ in self.documents], "<i8").tobytes() + np.array([n for _, n in self.documents], "<u8").tobytes()
+        self._put(table)
+        self._put(FOOTER.pack(at, len(self.documents), zlib.crc32(table), MAGIC))
 
 
 def read_sections(f):
@@ -88,26 +83,23 @@ def read_sections(f):
     if f.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     while f.read(4) == SECTION_MAGIC:
-        n, blocks, shift = struct.unpack("<QII", f.read(16))
-        table = np.frombuffer(f.read(8 * blocks), "<u4").reshape(blocks, 2)
-        parts = [f.read(int(size)) for size in table[:, 0]]
-        ids = range_coder.decode(parts, range_coder.BLOCK, shift).astype("<u4", copy=False).reshape(-1)[:n].tobytes()
-        step = 4 * range_coder.BLOCK
-        for i, want in enumerate(table[:, 1].tolist()):
-            if zlib.crc32(ids[i * step : (i + 1) * step]) != want:
-                raise ValueError(f"block {i} of a section fails its checksum")
-        yield ids
+        yield range_coder.decode_section(f.read)
 
 
 def read_documents(f, size: int):
     """(doc_id, ids as bytes) of every document of an open, seekable file of ``size`` bytes."""
-    f.seek(size - FOOTER.size)
-    at, n, magic = FOOTER.unpack(f.read(FOOTER.size))
-    if magic != MAGIC:
+    f.seek(max(0, size - FOOTER.size))
+    foot = f.read(FOOTER.size)
+    if len(foot) < FOOTER.size:
+        raise ValueError("not a token file")
+    at, n, check, magic = FOOTER.unpack(foot)
+    if magic != MAGIC or at + 17 * n + FOOTER.size != size:
         raise ValueError("not a token file")
     f.seek(at)
-    known = np.frombuffer(f.read(n), np.uint8)
-    ids, lengths = np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(8 * n), "<u8")
+    table = f.read(17 * n)
+    if zlib.crc32(table) != check:
+        raise ValueError("the table of documents fails its checksum")
+    known, ids, lengths = np.frombuffer(table, np.uint8, n), np.frombuffer(table, "<i8", n, n), np.frombuffer(table, "<u8", n, 9 * n)
     f.seek(0)
     sections, held, place = read_sections(f), b"", 0
     for k in range(n):
@@ -116,7 +108,9 @@ def read_documents(f, size: int):
             more = [held[place:]]
             have = len(more[0])
             while have < want:
-                more.append(next(sections))
+                more.append(next(sections, b""))
+                if not more[-1]:
+                    raise ValueError("sections are missing")
                 have += len(more[-1])
             held, place = b"".join(more), 0
         yield (int(ids[k]) if known[k] else None), held[place : place + want]
@@ -130,7 +124,9 @@ def write(documents: DataFrame, options: TokenFileOptions = TokenFileOptions(),
     folder = folder or shared_dir(spark, "tokens")
     path, end = options.tokenizer or default_tokenizer(), np.array([options.end_id], "<u4").tobytes()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(scan_partitions(rows), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # texts split the rows of an id that holds many
+    rows = rows.withColumn("by", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(scan_partitions(rows), F.col("doc_id").asc_nulls_first(), "by").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "by", "text").drop("by")
     out = pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
@@ -144,7 +140,7 @@ def write(documents: DataFrame, options: TokenFileOptions = TokenFileOptions(),
             if b.num_rows and writer is None:
                 fs.create_dir(place, recursive=True)
                 stream = fs.open_output_stream(f"{place}/{name}")
-                writer = Writer(stream, encode.tokenizer.get_vocab_size() - 1)
+                writer = Writer(stream)
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encode(text) + end
                 writer.add(doc, ids)

@@ -13,33 +13,31 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 UNSURE = re.compile("[\x1c-\x1f]")  # separators for one of str and the library only
-PLAIN = re.compile("[\x21-ɏ]+")  # case and composition known to agree
+PLAIN = re.compile("[\n\x21-ɏ]+")  # case and composition known to agree
 
 
-class Memory:
-    """A bounded dictionary: when the young half is full it becomes the old one; what is used again moves over."""
+class Memory(dict):
+    """A bounded dictionary: once full it takes no more, until as many entries were refused; then it begins anew."""
 
     def __init__(self, most: int):
-        self.half, self.young, self.old = most // 2, {}, {}
-
-    def get(self, key):
-        v = self.young.get(key)
-        if v is None and (v := self.old.get(key)) is not None:
-            self.put(key, v)
-        return v
+        super().__init__()
+        self.most, self.refused = most, 0
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        if len(self) >= self.most:
+            self.refused += 1
+            if self.refused <= self.most:
+                return
+            self.clear()
+            self.refused = 0
+        self[key] = value
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,15 +49,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids (bytes), within a bounded memory."""
+    """Encodes texts to little-endian unsigned 32-bit ids (bytes), within a bounded memory: an entry of either
+    dictionary takes some 250 bytes, as pieces and parts of more than ``LONG`` bytes are not remembered."""
+
+    LONG = 64
 
-    def __init__(self, path: str, pieces: int = 800_000, parts: int = 800_000):
+    def __init__(self, path: str, pieces: int = 600_000, parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces, self.parts = Memory(pieces), Memory(parts)
-        self.letters = byte_letters()
+        self.letters = "".join(byte_letters()[b] for b in range(256))
         self.pattern = self._pattern(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
 
@@ -72,31 +73,33 @@ class Encoder:
         split, level = steps
         if not split["invert"] or split["behavior"] != "Removed" or level["use_regex"] or level["add_prefix_space"]:
             return None
-        self.specials = [t["content"].encode() for t in said["added_tokens"]]
-        return regex.compile(split["pattern"]["Regex"])
+        self.specials = [t["content"] for t in said["added_tokens"]]
+        pattern = regex.compile(split["pattern"]["Regex"])
+        # a run of letters is one part, and needs no search, if the pattern says so for letters of either kind
+        self.letters_whole = all(pattern.findall(x) == [x] for x in ("s", "re", "abcdefghijklmnopqrstuvwxyz", "àéîõüßñçøæ"))
+        return pattern
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            letters = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            got = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            self.parts.put(part, got)
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(part) <= self.LONG:
+                self.parts.put(part, got)
         return got
 
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if not PLAIN.fullmatch(text) or any(s in piece for s in self.specials):
-            return self._whole(text)
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-            if not PLAIN.fullmatch(text):
-                return self._whole(piece.decode())
-        return b"".join(map(self._part, self.pattern.findall(text)))
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are not remembered."""
+        joined = b"\n".join(pieces).decode("utf-8", "surrogatepass")
+        low = joined.lower()
+        if not PLAIN.fullmatch(joined) or not PLAIN.fullmatch(low) or any(s in joined for s in self.specials):
+            return [self._new([p])[0] for p in pieces] if len(pieces) > 1 else [self._whole(joined)]
+        # characters below U+0300 are composed already
+        part, find = self._part, self.pattern.findall
+        return [part(t) if self.letters_whole and t.isalpha() else b"".join(map(part, find(t))) for t in low.split("\n")]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -104,19 +107,16 @@ class Encoder:
         if self.pattern is None or UNSURE.search(text):
             return self._whole(text)
         pieces = text.encode().split()
-        memory = self.pieces
-        try:
-            return b"".join(map(memory.young.__getitem__, pieces))
-        except KeyError:
-            pass
-        out = []
-        for p in pieces:
-            got = memory.young.get(p)
-            if got is None and (got := memory.get(p)) is None:
-                got = self._piece(p)
-                if len(p) <= 64:
-                    memory.put(p, got)
-            out.append(got)
+        out = list(map(self.pieces.get, pieces))
+        if None in out:
+            missing = [i for i, x in enumerate(out) if x is None]
+            new = dict.fromkeys(pieces[i] for i in missing)
+            for p, ids in zip(new, self._new(list(new)), strict=True):
+                new[p] = ids
+                if len(p) <= self.LONG:
+                    self.pieces.put(p, ids)
+            for i in missing:
+                out[i] = new[pieces[i]]
         return b"".join(out)
 
 
