@@ -15,7 +15,10 @@ order, similarity is L / (n1 + n2 - L).
 
 Edge cases: equal texts (rows repeated or not) form one class without any pairs; texts with fewer words
 than ``k`` are one k-mer of all their words; null texts and texts without a word form classes of their own
-per row and are never linked. An empty table gives an empty table. Extra columns are ignored or carried.
+per row and are never linked; very long texts are sketched and aligned whole. Of ties (equal ids, equal texts) the
+smallest row in all columns is kept. An empty table gives an empty table. Extra columns are ignored or carried.
+
+A bucket of any size is dealt over ``spread`` tasks for its joins and over blocks for comparisons.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ from .components import components
 class DedupOptions:
     """k: words of a shingle. sketches: independent order min-hashes. sample: k-mers kept by each.
     similarity: the least similarity of a link. bins: bytes of the signature that decides which pairs of a
-    mixed bucket are aligned. block: texts of one bucket that a task compares with another block at once."""
+    mixed bucket are aligned. block, kmers: texts, and k-mers of texts, of one bucket that a task compares with
+    another block at once (in expectation). spread: parts into which the rows of every bucket are dealt."""
 
     k: int = 5
     sketches: int = 16
@@ -46,6 +50,8 @@ class DedupOptions:
     similarity: float = 0.8
     bins: int = 128
     block: int = 1024
+    kmers: int = 1 << 20
+    spread: int = 64
 
 
 def kmer_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -183,12 +189,27 @@ def _aligned(pairs: DataFrame, kmers: DataFrame, o: DedupOptions) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _star_pairs(shared: DataFrame) -> DataFrame:
+def _part(o: DedupOptions):
+    """Which part of its buckets a text belongs to: joins on (key, part) deal the rows of a large bucket over tasks."""
+    return F.pmod(F.xxhash64("node"), F.lit(o.spread)).cast("int")
+
+
+def _buckets(keyed: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame]:
+    """((node, key, part, size) of the texts that share a key, (key, part) of their parts)."""
+    keyed = keyed.withColumn("part", _part(o))
+    counts = keyed.groupBy("key", "part").agg(F.count("*").alias("rows"))
+    sizes = counts.groupBy("key").agg(F.sum("rows").alias("size")).where("size > 1")
+    parts = staged(counts.select("key", "part").join(sizes, "key"), "parts")  # a key has at most ``spread`` rows here
+    return staged(keyed.join(parts, ["key", "part"]).select("node", "key", "part", "size"), "buckets"), parts.select("key", "part")
+
+
+def _star_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """Each member with its bucket's leader: the text whose buckets are largest in sum, the smallest node among equals."""
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
     members = shared.join(degree, "node")
     leaders = members.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("leader"))
-    return members.join(leaders, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    near = parts.join(leaders, "key")
+    return shared.join(near, ["key", "part"]).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def _groups(batches, names: list[str], key: list[str]):
@@ -214,9 +235,11 @@ def _groups(batches, names: list[str], key: list[str]):
 
 def _met(rows: DataFrame, o: DedupOptions) -> DataFrame:
     """A bucket's rows dealt into blocks, each repeated for the blocks it meets: a block meets itself and, once,
-    every other block of its bucket, so that no task needs a whole bucket. Sorted by (key, lo, hi)."""
-    blocks = F.ceil(F.col("rows") / o.block).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every other block of its bucket, so that no task needs a whole bucket. Sorted by (key, lo, hi).
+
+    ``size`` is the number of k-mers to be held of a bucket, 0 where none are."""
+    blocks = F.ceil(F.greatest(F.col("rows") / o.block, F.col("size") / o.kmers)).cast("int")
+    dealt = rows.withColumn("blocks", F.greatest(blocks, F.lit(1))).drop("size").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("blocks", "other")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
@@ -250,7 +273,7 @@ def _plausible(mixed: DataFrame, o: DedupOptions) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([node[i] for i in at], pa.binary())], ["key", "node"])
 
-    return _met(mixed, o).select("key", "lo", "hi", *names).mapInArrow(run, "key long, node binary").distinct()
+    return _met(mixed.withColumn("size", F.lit(0)), o).select("key", "lo", "hi", *names).mapInArrow(run, "key long, node binary").distinct()
 
 
 def overlaps(kmers: list[np.ndarray]) -> np.ndarray:
@@ -275,21 +298,22 @@ def overlaps(kmers: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _mixed_links(shared: DataFrame, labels: DataFrame, sketched: DataFrame, kmers: DataFrame, o: DedupOptions) -> DataFrame:
+def _mixed_links(shared: DataFrame, parts: DataFrame, labels: DataFrame, sketched: DataFrame, kmers: DataFrame, o: DedupOptions) -> DataFrame:
     """(a, b, similarity): links that join different components within buckets.
 
     All pairs of a block are compared by their common k-mers; pairs that reach the threshold are aligned, unless
     their components have been joined before, so a group of many near copies gives a link per text, not per pair.
     """
-    placed = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.select("node", "key", "part").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low <> high").select("key", "rows")
-    mixed = placed.join(sizes, "key").join(sketched.select("node", "n", "sig"), "node")
-    chosen = staged(_plausible(mixed.select("key", "rows", "node", "label", "n", "sig"), o), "plausible")
+    mixed = placed.join(parts.join(sizes, "key"), ["key", "part"]).join(sketched.select("node", "n", "sig"), "node")
+    chosen = staged(_plausible(mixed.select("key", "rows", "node", "label", "n", "sig"), o).withColumn("part", _part(o)), "plausible")
     # equal sets of members meet in several buckets: one of these buckets is enough
     member = F.xxhash64("node")
-    sets = chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("x"))
-    once = sets.where("rows > 1").groupBy("rows", "s", "x").agg(F.min("key").alias("key")).select("key", "rows")
-    rows = chosen.join(once, "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(kmers, "node")
+    chosen = chosen.join(sketched.select("node", "n"), "node")
+    sets = chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("x"))
+    once = sets.where("rows > 1").groupBy("rows", "size", "s", "x").agg(F.min("key").alias("key")).select("key", "rows", "size")
+    rows = chosen.drop("n").join(parts.join(once, "key"), ["key", "part"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(kmers, "node")
     least = o.similarity
     names = ["node", "label", "h", "mine"]
 
@@ -321,7 +345,7 @@ def _mixed_links(shared: DataFrame, labels: DataFrame, sketched: DataFrame, kmer
                 a, b, v = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(v, pa.float64())], ["a", "b", "similarity"])
 
-    return _met(rows.select("key", "rows", "node", "label", "h"), o).select("key", "lo", "hi", *names).mapInArrow(run, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
+    return _met(rows.select("key", "rows", "size", "node", "label", "h"), o).select("key", "lo", "hi", *names).mapInArrow(run, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
 def near_classes(documents: DataFrame, options: DedupOptions = DedupOptions()) -> tuple[DataFrame, DataFrame]:
@@ -334,13 +358,14 @@ def near_classes(documents: DataFrame, options: DedupOptions = DedupOptions()) -
     # copies are sketched where they lie, so that sketches, not texts, are shuffled to drop them
     sketched = staged(_sketched(texts, o).dropDuplicates(["node"]), "sketches")
     keyed = sketched.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = staged(keyed.join(sizes, "key"), "buckets")
+    shared, parts = _buckets(keyed, o)
     near = shared.select("node").distinct()
-    kmers = staged(_kmers(texts.join(near, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), o), "kmers")
-    links = staged(_aligned(_star_pairs(shared), kmers, o), "links")
+    # copies go before the texts are shuffled
+    distinct = texts.groupBy("node").agg(F.first("text").alias("text"))
+    kmers = staged(_kmers(distinct.join(near, "node", "left_semi"), o), "kmers")
+    links = staged(_aligned(_star_pairs(shared, parts), kmers, o), "links")
     labels = components(links)
-    more = staged(_mixed_links(shared, labels, sketched, kmers, o), "links")
+    more = staged(_mixed_links(shared, parts, labels, sketched, kmers, o), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)
@@ -381,6 +406,13 @@ def keep_first(documents: DataFrame, options: DedupOptions = DedupOptions()) ->
     narrow = rows.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
     heads = narrow.groupBy("label").agg(F.min(ids).alias("head")).select(F.col("head.node").alias("node"), F.col("head.doc_id").alias("doc_id"))
-    # equal rows of one id are one document, too
-    kept = rows.select("doc", "node").join(heads, "node").where(F.col("doc.doc_id").eqNullSafe(F.col("doc_id")))
-    return alone.unionByName(kept.groupBy("node").agg(F.first("doc").alias("doc")).select("doc.*"))
+    # whole documents are dealt by text and id; equal rows of one id are one document, too: the least of them in all
+    # columns that have an order
+    kept = rows.withColumn("doc_id", F.col("doc.doc_id")).alias("r").join(heads.alias("h"), (F.col("r.node") == F.col("h.node")) & F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    return alone.unionByName(kept.groupBy("node").agg(_least(documents).alias("doc")).select("doc.*"))
+
+
+def _least(documents: DataFrame):
+    """The struct ``doc`` that is smallest, or, with a column of a type without order, any."""
+    maps = any("map<" in t or t == "variant" for _, t in documents.dtypes)
+    return F.first("doc") if maps else F.min("doc")
