@@ -91,9 +91,9 @@ class BayesGamModel:
         return self.flat if n is None else self.flat[np.linspace(0, len(self.flat) - 1, n).astype(int)]
 
 
-def bayes_gam(formula, df: DataFrame, family=None, priors: PriorSpec | bool = True, nsamples: int = 1000, nchains: int = 2, warmup: int = 300, seed: int = 1, weights=None, control: GamControl = GamControl(), na_action: str = "fail", **_) -> BayesGamModel:
+def bayes_gam(formula, df: DataFrame, family=None, priors: PriorSpec | bool = True, nsamples: int = 1000, nchains: int = 2, warmup: int = 300, seed: int = 1, weights=None, offset: str | None = None, control: GamControl = GamControl(), na_action: str = "fail") -> BayesGamModel:
     priors = PriorSpec() if priors is True else priors
-    m = gam(formula, df, family, None, "REML", weights, None, control, na_action)
+    m = gam(formula, df, family, None, "REML", weights, offset, control, na_action)
     draws, sigmas, rhos, took = [], [], [], []
     for chain in range(nchains):
         rng = np.random.default_rng([seed, chain])

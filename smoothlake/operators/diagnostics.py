@@ -278,12 +278,17 @@ def smooth_samples(m: GamModel, select=None, n: int = 100, grid: int = 50, seed:
 
 def appraise(m: GamModel, type: str = "deviance") -> DataFrame:
     """The table with resid, fit, linear predictor, and theoretical: the normal quantile of the residual's rank. Ranks
-    come from one global order, by a range sort and counts per partition."""
+    come from one global order: ranges between fixed bounds, which a row falls in by its residual alone whenever it is
+    computed, counts per range, and ranks within. Equal residuals are in one range, in any order."""
     fit = m.predict(m.residuals(type))
     spark = fit.sparkSession
-    ordered = fit.repartitionByRange(F.col("resid")).sortWithinPartitions("resid").withColumn("__part", F.spark_partition_id())
-    local = ordered.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("resid")))
-    counts = {r[0]: r[1] for r in local.groupBy("__part").count().collect()}  # a row per partition
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), m.n // 1_000_000)
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = np.unique(fit.agg(F.percentile_approx("resid", F.array(*map(F.lit, probs)), 10 * ranges)).first()[0]) if probs else np.zeros(0)
+    ranged = add_columns(fit, ["resid"], lambda cols: {"__part": np.searchsorted(bounds, cols["resid"]).astype(float)}, ["__part"])
+    ranged = ranged.withColumn("__part", F.col("__part").cast("int"))
+    local = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("resid")))
+    counts = {r[0]: r[1] for r in ranged.groupBy("__part").count().collect()}  # a row per range
     base, rows = 0, []
     for p in sorted(counts):
         rows.append((p, base))

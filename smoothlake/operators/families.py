@@ -316,7 +316,12 @@ class Tweedie(Poisson):
             a = (2 - p) / (p - 1)
             top = np.maximum(1, np.round(yy ** (2 - p) / (ph * (2 - p))))
             base = a * np.log(yy) - (1 + a) * np.log(ph) - a * math.log(p - 1) - math.log(2 - p)
-            half = int(min(400, 12 + 8 * math.sqrt(float(top.max()))))
+            # terms fall off like a normal density whose variance is below the largest one's index
+            half = int(12 + 8 * math.sqrt(float(top.max())))
+            if half > 2000:  # in runs of rows, so that the table of terms stays small
+                step = max(1, 4_000_000 // half)
+                if len(y) > step:
+                    return np.concatenate([self.loglik(y[i : i + step], mu[i : i + step], np.broadcast_to(w, y.shape)[i : i + step], scale, p) for i in range(0, len(y), step)])
             j = np.maximum(top[:, None] + np.arange(-half, half + 1), 0.0)
             real = (top[:, None] + np.arange(-half, half + 1)) >= 1
             j = np.maximum(j, 1.0)

@@ -147,7 +147,11 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     from smoothlake.operators.gamlss import gamlss
     from smoothlake.operators.multifamilies import MultiFamily
 
+    if optimizer != "efs":
+        raise ValueError(f"optimizer is efs, not {optimizer}")
     if isinstance(family, MultiFamily):
+        if offset is not None or more.get("priors") is not None:
+            raise ValueError("families with several parameters take no offset and no priors")
         return gamlss(formula, df, family, weights=weights, na_action=na_action, **more)
     if isinstance(formula, (list, tuple)):
         raise ValueError("several formulas need a family with several parameters")
@@ -156,11 +160,14 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     if more.get("priors") is not None:
         from smoothlake.operators.bayes import bayes_gam
 
-        return bayes_gam(f, df, fam, priors=more.pop("priors"), weights=weights, control=control, na_action=na_action, **more)
+        return bayes_gam(f, df, fam, priors=more.pop("priors"), weights=weights, offset=offset, control=control, na_action=na_action, **more)
+    more.pop("priors", None)
+    if more:
+        raise TypeError(f"unknown arguments: {sorted(more)}")
     if f.random:
         from smoothlake.operators.gamm import gamm
 
-        return gamm(f, df, fam, method=method, weights=weights, control=control, na_action=na_action)
+        return gamm(f, df, fam, method=method, weights=weights, offset=offset, control=control, na_action=na_action)
     narrow, n, ranges = prepare(df, f, weights, offset, na_action, _extra_columns(f))
     problem = fam.valid(*ranges[f.response])
     if problem:

@@ -84,7 +84,7 @@ def with_groups(df: DataFrame, specs: tuple[RandomSpec, ...]) -> DataFrame:
     return df
 
 
-def gamm(formula, df: DataFrame, family=None, link=None, method: str = "REML", weights=None, control: GamControl = GamControl(), na_action: str = "fail", backend: str = "LAMS") -> GammModel:
+def gamm(formula, df: DataFrame, family=None, link=None, method: str = "REML", weights=None, offset: str | None = None, control: GamControl = GamControl(), na_action: str = "fail", backend: str = "LAMS") -> GammModel:
     """backend LAMS and PQL are one method here: working linear mixed models until they settle."""
     if backend.upper() not in ("LAMS", "PQL"):
         raise ValueError("backend is LAMS or PQL")
@@ -94,7 +94,7 @@ def gamm(formula, df: DataFrame, family=None, link=None, method: str = "REML", w
     fam = family_of(family, link)
     wide = with_groups(df, f.random)
     full = replace(f, smooths=(*f.smooths, *random_smooths(f.random)), random=())
-    narrow, n, ranges = prepare(wide, full, weights, None, na_action)
+    narrow, n, ranges = prepare(wide, full, weights, offset, na_action)
     problem = fam.valid(*ranges[f.response])
     if problem:
         raise ValueError(problem)
@@ -102,10 +102,3 @@ def gamm(formula, df: DataFrame, family=None, link=None, method: str = "REML", w
     design = bind(full, rows, side=False)
     return GammModel(fit_design(design, rows, narrow, fam, method, control, n), f.random, f)
 
-
-def balanced_ridge_effects(df: DataFrame, y: str, group: str, ratio: float) -> DataFrame:
-    """level, effect: random intercepts about the overall mean for a known ratio of residual to group variance,
-    by sums per level alone: n / (n + ratio) (level mean - mean). Any number of levels."""
-    mean = df.agg(F.avg(y).alias("m"))
-    t = df.groupBy(F.col(group).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("a"))
-    return t.crossJoin(F.broadcast(mean)).select("level", (F.col("n") / (F.col("n") + F.lit(ratio)) * (F.col("a") - F.col("m"))).alias("effect"))

@@ -16,10 +16,35 @@ def place_knots(df: DataFrame, column: str, k: int, lo: float | None = None, hi:
     return q.select(F.posexplode("q").alias("knot_id", "knot"))
 
 
-knot_quantiles = place_knots
-
-
-def discretize_covariates(df: DataFrame, column: str, bins: int) -> DataFrame:
+def knot_quantiles(df: DataFrame, column: str, n: int) -> DataFrame:
+    """knot_id, knot: ``n`` evenly spaced quantiles of the distinct values, ends left out."""
+    if n < 0:
+        raise ValueError("a number of knots is not negative")
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null").distinct()
+    q = x.agg(F.percentile("x", F.array(*[F.lit(i / (n + 1)) for i in range(1, n + 1)] or [F.lit(0.5)])).alias("q"))
+    return q.select(F.posexplode("q").alias("knot_id", "knot")).limit(n)
+
+
+def discretize_covariates(df: DataFrame, column: str, max_unique: int = 1000) -> DataFrame:
+    """The table with ``bin`` and ``bin_mid``: each distinct value where there are at most ``max_unique``; else the
+    ranges between that many quantiles of the rows, with their middles, the first and the last at the ends."""
+    x = F.col(column).cast("double")
+    found = [r.x for r in df.select(x.alias("x")).where("x is not null").distinct().limit(max_unique + 1).collect()]
+    if len(found) <= max_unique:
+        breaks = middles = sorted(found)
+    else:
+        probs = F.array(*[F.lit(i / max_unique) for i in range(max_unique + 1)])
+        breaks = sorted(set(df.agg(F.percentile(x, probs)).first()[0]))
+        middles = [(a + b) / 2 for a, b in zip(breaks, breaks[1:], strict=False)]
+        middles[0], middles[-1] = breaks[0], breaks[-1]
+    # the last break at or below the value
+    edges = F.array(*map(F.lit, breaks))
+    at = F.least(F.greatest(F.size(F.filter(edges, lambda b: b <= x)) - 1, F.lit(0)), F.lit(len(middles) - 1))
+    out = df.withColumn("bin", F.when(x.isNotNull(), at).cast("int"))
+    return out.withColumn("bin_mid", F.when(x.isNotNull(), F.array(*map(F.lit, middles))[at]))
+
+
+def equal_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
     """The table with ``bin`` and ``bin_mid``: equal ranges of the column."""
     span = df.agg(F.min(column).cast("double").alias("__lo"), F.max(column).cast("double").alias("__hi"))
     wide = df.crossJoin(F.broadcast(span))  # one row

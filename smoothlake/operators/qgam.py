@@ -39,6 +39,8 @@ class QgamModel(MultiParameterModel):
         a, b = fit.agg(F.sum(pinball("fit", y, self.qu)), F.sum(pinball(F.lit(q), y, self.qu))).first()
         return 1 - a / b
 
+ROW = "__row"  # the number of a row, for bootstraps
+
 
 def pinball(fit, y, qu: float):
     """The pinball loss as a column."""
@@ -57,15 +59,12 @@ def default_err(n: int, qu: float) -> float:
     return float(np.clip(5 / (math.sqrt(n) * min(qu, 1 - qu)), 0.01, 0.05))
 
 
-def bootstrap_weights(cols, b: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts from a hash of each row's values: the same wherever the row lies."""
-    h = np.zeros(len(next(iter(cols.values()))), np.uint64)
+def bootstrap_weights(rows: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts, ``b`` for each row, from a hash of the row's number: rows of equal values are drawn apart."""
+    h = np.ascontiguousarray(rows).astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        for name in sorted(cols):
-            v = cols[name]
-            bits = np.array([hash(x) & 0xFFFFFFFF for x in v.tolist()], np.uint64) if v.dtype == object else np.ascontiguousarray(v, float).view(np.uint64)
-            h = (h ^ bits) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+        h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
         out = np.zeros((len(h), b))
         steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
         for i in range(b):
@@ -76,7 +75,7 @@ def bootstrap_weights(cols, b: int, seed: int) -> np.ndarray:
     return out
 
 
-def _calibrate(design, rows, response, qu, co, centre, rho, b: int = 10, seed: int = 1) -> float:
+def _calibrate(design, rows, response, qu, co, centre, rho, b: int = 20, seed: int = 1) -> float:
     """The log learning rate with the least out-of-bag pinball loss, by golden section over centre +- 3; a pass
     carries all bootstrap fits at once."""
     k = design.p
@@ -91,7 +90,7 @@ def _calibrate(design, rows, response, qu, co, centre, rho, b: int = 10, seed: i
 
             def block(cols, betas=betas):
                 x, y = design.matrix(cols), np.asarray(cols[response], float)
-                w = bootstrap_weights({c: cols[c] for c in cols if not c.startswith("__")}, b, seed) * np.asarray(cols[WEIGHT], float)[:, None]
+                w = bootstrap_weights(cols[ROW], b, seed) * np.asarray(cols[WEIGHT], float)[:, None]
                 out = {"g": np.zeros((b, k, k)), "r": np.zeros((b, k)), "l": np.zeros(b), "f": np.zeros(b)}
                 for i in range(b):
                     f, g, h = family.derivatives(y, [x @ betas[:, i]])
@@ -138,7 +137,7 @@ def qgam(formula, df: DataFrame, qu: float, lsig: float | None = None, err: floa
         return gamlss(list(formula), df, ELFLSS(qu, base.co), weights=weights, control=control, na_action=na_action)
     f = parse(formula)
     narrow, n, _ = prepare(df, f, weights, None, na_action)
-    rows = rows_of(narrow, n, control.local_rows)
+    rows = rows_of(narrow.withColumn(ROW, F.monotonically_increasing_id()), n, control.local_rows)
     design = bind(f, rows)
     gauss = fit_design(design, rows, narrow, Normal(), "REML", control, n)
     var = max(gauss.scale, 1e-12)

@@ -54,7 +54,7 @@ def knots_quantile(spark, sf_dir):
 @query("""WITH r AS (SELECT min(value) lo, max(value) hi FROM events)
 SELECT CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, r GROUP BY 1""")
 def discretize_bins(spark, sf_dir):
-    d = knots.discretize_covariates(table(spark, sf_dir, "events"), "value", 20)
+    d = knots.equal_bins(table(spark, sf_dir, "events"), "value", 20)
     return d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
@@ -163,10 +163,11 @@ def compress_rows(spark, sf_dir):
     return c.select(F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").alias("d"), F.col(WEIGHT).cast("long").alias("n"), F.round("l_extendedprice", 6).alias("mean_y"))
 
 
-@query("SELECT count(*) AS n, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_null, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events")
+@query("SELECT count(*) AS n, (SELECT count(*) FROM events) - count(*) AS n_null, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM (SELECT CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events) WHERE value IS NOT NULL")
 def validate_columns(spark, sf_dir):
-    _, n, r = validate(table(spark, sf_dir, "events"), ["value"], ["value"])
-    return spark.createDataFrame([(n, 0, round(r["value"][0], 6), round(r["value"][1], 6))], "n long, n_null long, lo double, hi double")
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))  # with nulls
+    kept, n, r = validate(e, ["value"], ["value"], "drop")
+    return spark.createDataFrame([(kept.count(), e.count() - n, round(r["value"][0], 6), round(r["value"][1], 6))], "n long, n_null long, lo double, hi double")
 
 
 @query("""WITH m AS (SELECT regr_intercept(l_extendedprice, l_quantity) a, regr_slope(l_extendedprice, l_quantity) b FROM lineitem)
@@ -194,19 +195,23 @@ def cqcheck_bins(spark, sf_dir):
     return qgam.cqcheck_table(li, "x", "y", "fit", 0.5, 8).select("bin", F.round("proportion", 8).alias("proportion"), "bin_size")
 
 
-@query("""WITH y AS (SELECT CAST(count(*) AS DOUBLE) AS y FROM lineitem GROUP BY l_suppkey, l_linenumber), m AS (SELECT avg(y) AS mu, count(*) AS n FROM y),
+@query("""WITH y AS (SELECT CAST(count(*) AS DOUBLE) AS y FROM lineitem GROUP BY l_orderkey), m AS (SELECT avg(y) AS mu, count(*) AS n FROM y),
 k AS (SELECT i AS k, exp(sum(ln(greatest(j, 1)))) AS f FROM range(13) a(i), range(13) b(j) WHERE j <= i GROUP BY i)
 SELECT CAST(k.k AS INTEGER) AS count, (SELECT count(*) FROM y WHERE y.y = k.k)::DOUBLE AS observed, round(n * exp(-mu) * pow(mu, k.k) / f, 4) AS expected FROM k, m""")
 def rootogram_counts(spark, sf_dir):
-    y = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("y"))
+    y = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("double").alias("y"))
     r = diagnostics.rootogram(gam("y ~ 1", y, "poisson"), 12)
     return r.select("count", "observed", F.round("expected", 4).alias("expected"))
 
 
-@query("""WITH m AS (SELECT avg(l_extendedprice) AS mu FROM lineitem)
-SELECT l_suppkey AS level, round(count(*) / (count(*) + 10.0) * (avg(l_extendedprice) - any_value(mu)), 4) AS effect FROM lineitem, m GROUP BY l_suppkey""")
+@query("""WITH g AS (SELECT l_suppkey AS level, count(*) AS n, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1), m AS (SELECT sum(n * n / (n + 10.0) * a) / sum(n * n / (n + 10.0)) AS mu FROM g)
+SELECT level, round(n / (n + 10.0) * (a - mu), 4) AS effect FROM g, m""")
 def re_group_effects(spark, sf_dir):
-    return gamm.balanced_ridge_effects(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_suppkey", 10.0).select("level", F.round("effect", 4).alias("effect"))
+    m = gam("l_extendedprice ~ s(l_suppkey, bs='re', sp=10.0)", table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_suppkey"))
+    (smooth,) = m.design.smooths
+    effects = smooth.columns({"l_suppkey": np.array(smooth.basis.levels)}) @ m.beta[smooth.slice]
+    rows = [(int(level), round(float(v), 4)) for level, v in zip(smooth.basis.levels, effects, strict=True)]
+    return spark.createDataFrame(rows, "level long, effect double")
 
 
 @query("""SELECT a.n_nationkey AS region, count(*) AS degree FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY 1""")
@@ -216,15 +221,10 @@ def mrf_laplacian_degree(spark, sf_dir):
     return knots.laplacian(n.join(other, "n_regionkey"), "n_nationkey", "other")
 
 
-@query("SELECT round(pow(corr(l_quantity, l_discount), 2), 10) AS concurvity FROM lineitem")
-def concurvity_pair(spark, sf_dir):
-    m = bam("l_extendedprice ~ s(l_quantity, k=3, bs='cr', fx=True) + l_discount", table(spark, sf_dir, "lineitem"))
-    del m  # a smooth fit exercises the pass; the pairwise value below is that of two linear terms
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"))
-    g = SparkRows(li, 0).sweep(lambda c: {"g": (x := np.column_stack([np.ones(len(c["a"])), c["a"], c["b"]])).T @ x})["g"]
-    n = g[0, 0]
-    cov = g[1:, 1:] / n - np.outer(g[0, 1:], g[0, 1:]) / n**2
-    return spark.createDataFrame([(round(float(cov[0, 1] ** 2 / (cov[0, 0] * cov[1, 1])), 10),)], "concurvity double")
+@query()
+def concurvity_pairs(spark, sf_dir):
+    m = bam("l_extendedprice ~ s(l_quantity, k=4, bs='cr') + s(l_discount, k=4, bs='cr') + l_tax", table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax"))
+    return spark.createDataFrame([(a, b, v) for (a, b), v in diagnostics.concurvity(m, full=False).items()], "term string, other string, concurvity double")
 
 
 @query("""WITH t AS (SELECT event_id, value - (SELECT avg(value) FROM events) AS r FROM events), k AS (SELECT event_id, (row_number() OVER (ORDER BY r) - 0.5) / (SELECT count(*) FROM events) AS p, r FROM t)
@@ -331,8 +331,9 @@ def gamm_many_levels(spark, sf_dir):
 @query()
 def qgam_prices(spark, sf_dir):
     c = _counts(spark, sf_dir)
-    ms = qgam.mqgam("price ~ s(n, k=5, bs='cr')", c, [0.25, 0.75], lsig=8.0)
-    return ms[0.25].predict().select("n", F.col("fit").alias("q25")).distinct()
+    ms = qgam.mqgam("price ~ s(n, k=5, bs='cr')", c, [0.25, 0.75])
+    x = c.select("n").distinct()
+    return ms[0.25].predict(x).select("n", F.col("fit").alias("q25")).join(ms[0.75].predict(x).select("n", F.col("fit").alias("q75")), "n")
 
 
 @query()
