@@ -1,14 +1,15 @@
 """Rows of a model: the passes over the data that every fitter needs, on Spark or on a small local table.
 
 A pass sends a function over blocks of columns and adds up the arrays it returns. On Spark a block is an
-Arrow batch, each task adds up its own blocks and one row per array entry is summed by an ordinary
-aggregation. A table of at most ``LOCAL`` rows, counted first, is held by the driver instead, so a fit of a
+Arrow batch, each task adds up its own blocks, and the tasks' sums are added up in packed pieces. A table of at most ``LOCAL`` rows, counted first, is held by the driver instead, so a fit of a
 small or compressible table costs a few jobs however many iterations it takes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 LOCAL = 200_000
 EXACT_QUANTILES = 2_000_000
+PIECE = 8192  # numbers of a packed piece of a task's sums
 Columns = dict[str, np.ndarray]
 Pass = Callable[[Columns], dict[str, np.ndarray]]
 
@@ -66,8 +68,14 @@ class LocalRows:
         return sorted(set(self.columns[name].tolist()))
 
     def points(self, names: list[str], most: int) -> np.ndarray:
-        p = np.unique(np.column_stack([self.columns[n].astype(float) for n in names]), axis=0)
-        return p if len(p) <= most else p[np.linspace(0, len(p) - 1, most).astype(int)]
+        p = np.unique(np.column_stack([self.columns[n].astype(float) for n in names]) + 0.0, axis=0)
+        if len(p) <= most:
+            return p
+        # the hash that Spark takes of such a row
+        import xxhash
+
+        h = [reduce(lambda seed, v: xxhash.xxh64_intdigest(struct.pack("<d", v), seed), row, 42) for row in p.tolist()]
+        return p[np.sort(np.lexsort((np.arange(len(p)), np.array(h, np.uint64).view(np.int64)))[:most])]
 
     def select(self, f: Callable[[Columns], Columns]) -> LocalRows:
         return LocalRows(f(self.columns))
@@ -80,8 +88,13 @@ class SparkRows:
         self.df, self.n = df, n
 
     def sweep(self, f: Pass) -> dict[str, np.ndarray]:
-        """Sums over all rows of what ``f`` returns; names that begin with ``max_`` are maxima."""
-        schema = "name string, shape array<int>, k int, v double"
+        """Sums over all rows of what ``f`` returns; names that begin with ``max_`` are maxima. A task hands on its sums
+        in packed pieces of ``PIECE`` numbers, which are added up on the executors as they come."""
+        schema = "name string, shape array<int>, at int, v binary"
+        fields = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("at", pa.int32()), ("v", pa.binary())])
+
+        def row(name, shape, at, v):
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((name, shape, at, v.tobytes()), fields, strict=True)], schema=fields)
 
         def run(batches):
             total: dict[str, np.ndarray] = {}
@@ -90,18 +103,29 @@ class SparkRows:
                     _add(total, f(to_columns(b)))
             for name, v in total.items():
                 flat = np.ascontiguousarray(v, float).ravel()
-                yield pa.RecordBatch.from_pydict(
-                    {"name": [name] * len(flat), "shape": [list(v.shape)] * len(flat), "k": np.arange(len(flat), dtype=np.int32), "v": flat},
-                    schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("k", pa.int32()), ("v", pa.float64())]),
-                )
+                for at in range(0, len(flat), PIECE):
+                    yield row(name, list(v.shape), at, flat[at : at + PIECE])
 
-        parts = self.df.mapInArrow(run, schema)
-        rows = parts.groupBy("name", "shape", "k").agg(F.when(F.col("name").startswith("max_"), F.max("v")).otherwise(F.sum("v")).alias("v")).collect()
+        def add(batches):  # sorted, so one sum is held at a time
+            key, total = None, None
+            for b in batches:
+                for name, shape, at, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    v = np.frombuffer(v)
+                    if key is not None and key[0] == name and key[2] == at:
+                        total = np.maximum(total, v) if name.startswith("max_") else total + v
+                        continue
+                    if key is not None:
+                        yield row(*key, total)
+                    key, total = (name, shape, at), v
+            if key is not None:
+                yield row(*key, total)
+
+        parts = self.df.mapInArrow(run, schema).repartition("name", "at").sortWithinPartitions("name", "at")
         out: dict[str, np.ndarray] = {}
-        for name, shape, k, v in rows:
-            out.setdefault(name, np.zeros(int(np.prod(shape)) if shape else 1)).flat[k] = v
-        shapes = {r.name: tuple(r["shape"]) for r in rows}
-        return {name: v.reshape(shapes[name]) for name, v in out.items()}
+        for name, shape, at, v in parts.mapInArrow(add, schema).collect():
+            v = np.frombuffer(v)
+            out.setdefault(name, np.zeros(tuple(shape))).reshape(-1)[at : at + len(v)] = v
+        return out
 
     def range(self, names: list[str]) -> dict[str, tuple[float, float]]:
         r = self.df.agg(*[f(F.col(f"`{n}`").cast("double")) for n in names for f in (F.min, F.max)]).first()

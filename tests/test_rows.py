@@ -91,3 +91,20 @@ def test_concurvity_equals_projections(spark):
     for (p, q), got in diagnostics.concurvity(m, full=False).items():
         u, v = np.linalg.qr(parts[p])[0], np.linalg.qr(parts[q])[0]
         assert np.isclose(got, np.linalg.norm(v.T @ u, 2) ** 2, atol=1e-6)
+
+
+def test_both_kinds_of_rows_agree(spark):
+    """Points, sums and maxima of rows on the driver and on the cluster, sums beyond one packed piece."""
+    from smoothlake.sources.rows import LocalRows, SparkRows
+
+    t = {"a": rng.normal(size=6000), "b": np.round(rng.normal(size=6000), 1)}
+    here, there = LocalRows(t), SparkRows(spark.createDataFrame(pd.DataFrame(t)).repartition(7), 6000)
+    assert np.array_equal(here.points(["a", "b"], 500), there.points(["a", "b"], 500))
+    assert np.array_equal(here.points(["b"], 5000), there.points(["b"], 5000))
+
+    def f(cols):
+        x = np.cos(np.outer(cols["a"], np.arange(120)))
+        return {"g": x.T @ x, "s": np.array([cols["b"].sum()]), "max_b": np.array([cols["b"].max(), -cols["b"].min()])}
+
+    one, two = here.sweep(f), there.sweep(f)
+    assert one.keys() == two.keys() and all(one[k].shape == two[k].shape and np.allclose(one[k], two[k]) for k in one)
