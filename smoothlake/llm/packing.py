@@ -131,8 +131,8 @@ def _packed(items: DataFrame, level: int, partitions: int, o: PackingOptions) ->
         if not last:
             give = o.spare * (1 + len(residual) - bound)
             emptiest = np.argsort(-residual, kind="stable")[:give]
-            # what ``fold`` partitions hand on is a partition of the next level
-            emptiest = emptiest[np.cumsum(np.bincount(where)[emptiest]) <= o.pieces // o.fold]
+            # beyond the spare bins no more pieces than make ``fold`` partitions' a partition of the next level
+            emptiest = emptiest[(np.arange(len(emptiest)) < o.spare) | (np.cumsum(np.bincount(where)[emptiest]) <= o.pieces // o.fold)]
             released[emptiest[residual[emptiest] > 0]] = True
         base = (level << 54) | (TaskContext.get().partitionId() << 32)
         yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(lengths), pa.array(where + base), pa.array(offset), pa.array(released[where])], ["uid", "length", "sequence_id", "offset", "open"])
