@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from smoothlake.operators import bayes, diagnostics, gamm, gamlss, knots, mixed, multifamilies, qgam
 from smoothlake.operators.bases import make
-from smoothlake.operators.gam import bam, compress, gam, BamControl, OFFSET, WEIGHT
+from smoothlake.operators.gam import bam, compress, gam, BamControl, GamControl, OFFSET, WEIGHT
 from smoothlake.operators.families import Poisson
 from smoothlake.operators.rowmap import add_columns
 from smoothlake.operators.scam import scam, scasm
@@ -278,6 +278,92 @@ def logit_first_step(spark, sf_dir):
     return spark.createDataFrame([(round(float(b[0]), 8), round(float(b[1]), 8))], "intercept double, slope double")
 
 
+# -- fits at given smoothing, whose normal equations SQL can solve ---------------------------------------------------
+
+def _eliminated(matrix: str, source: str, n: int) -> str:
+    """Recursive CTE ``e``: Gauss-Jordan steps on an n x (n + 1) matrix; the solution is the last column after step n."""
+    return f"""e AS (SELECT 0 AS step, {matrix} AS m FROM {source} UNION ALL
+SELECT step + 1, list_transform(m, lambda r, i: CASE WHEN i = step + 1 THEN list_transform(r, lambda v: v / r[step + 1]) ELSE list_transform(r, lambda v, j: v - r[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END) FROM e WHERE step < {n})"""
+
+
+def _normal_equations(k: int, factor: float, order: int = 2) -> str:
+    """Sums of products of the list ``b`` with itself and ``y``, plus ``factor`` times the difference penalty."""
+    d = np.diff(np.eye(k), order, axis=0)
+    s = d.T @ d
+    rows = ["[" + ", ".join([f"sum(b[{i + 1}] * b[{j + 1}]) + {float(factor * s[i, j])}" for j in range(k)] + [f"sum(b[{i + 1}] * y)"]) + "]" for i in range(k)]
+    return "[" + ", ".join(rows) + "]"
+
+
+@query("WITH RECURSIVE r AS (SELECT min(l_quantity) lo, (max(l_quantity) - min(l_quantity)) / 3 h FROM lineitem), u AS (SELECT CAST(l_quantity AS DOUBLE) AS x, l_extendedprice AS y, (l_quantity - lo) / h AS v FROM lineitem, r), "
+    + "b AS (SELECT x, y, [" + ", ".join(_cubic(f"(v - {i - 3})") for i in range(6)) + "] AS b FROM u), " + _eliminated(_normal_equations(6, 4000.0 / 16), "b", 6)
+    + " SELECT x, round(" + " + ".join(f"b[{i}] * m[{i}][7]" for i in range(1, 7)) + ", 4) AS fit FROM (SELECT DISTINCT x, b FROM b), e WHERE step = 6")
+def gam_given_smoothing(spark, sf_dir):
+    """A P-spline whose penalty, relative to its largest column sum of 16, weighs 4000."""
+    li = table(spark, sf_dir, "lineitem")
+    m = bam("l_extendedprice ~ s(l_quantity, k=6, bs='ps', sp=4000.0)", li)
+    return m.predict(li.select("l_quantity").distinct()).select(F.col("l_quantity").cast("double").alias("x"), F.round("fit", 4).alias("fit"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT n_nationkey AS level, n_regionkey AS region, count(c_acctbal) AS n, coalesce(sum(c_acctbal), 0) AS t FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+z AS (SELECT region, count(*) AS k FROM g GROUP BY 1), l AS (SELECT 40.0 / (2 * (max(k) - 1)) AS l FROM z),
+s AS (SELECT region, sum(t / (n + k * l)) / (1 - any_value(l) * sum(1 / (n + k * l))) AS s FROM g JOIN z USING (region), l GROUP BY 1)
+SELECT CAST(level AS BIGINT) AS nation, round((t + l * s) / (n + k * l), 4) AS fit FROM g JOIN z USING (region) JOIN s USING (region), l""")
+def mrf_given_smoothing(spark, sf_dir):
+    """Balances by nation, smoothed towards the other nations of the region."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    regions: dict = {}
+    for r in nations.collect():  # the graph is a parameter of the basis
+        regions.setdefault(r.n_regionkey, []).append(r.n_nationkey)
+    nb = {v: [w for w in near if w != v] for near in regions.values() for v in near}
+    f = Formula("c_acctbal", (), True, (s("c_nationkey", bs="mrf", sp=40.0, xt={"nb": nb}),))
+    m = bam(f, table(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey"))
+    p = m.predict(nations.select(F.col("n_nationkey").alias("c_nationkey")))
+    return p.select(F.col("c_nationkey").cast("long").alias("nation"), F.round("fit", 4).alias("fit"))
+
+
+def _newton(n_table: str, mean: str, weight: str, start: str) -> str:
+    """Recursive CTE ``e`` of Newton steps for two coefficients over rows (x, n, t) held as one list."""
+    eta = "e.a + e.c * q.x"
+    mu, w = mean.format(eta), weight.format(eta)
+    parts = {"g0": f"q.t - q.n * {mu}", "g1": f"(q.t - q.n * {mu}) * q.x", "h0": f"q.n * {w}", "h1": f"q.n * {w} * q.x", "h2": f"q.n * {w} * q.x * q.x"}
+    sums = ", ".join(f"list_sum(list_transform(d, lambda q: {v})) AS {k}" for k, v in parts.items())
+    return f"""d AS (SELECT list({{'x': x, 'n': n, 't': t}}) AS d FROM {n_table}), e AS (SELECT 0 AS step, {start} AS a, CAST(0 AS DOUBLE) AS c FROM {n_table} UNION ALL
+SELECT step + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), c + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (SELECT step, a, c, {sums} FROM e, d) WHERE step < 15)"""
+
+
+_SUMS = "WITH RECURSIVE t AS (SELECT x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS t FROM ({}) GROUP BY x), "
+_LOGIT = "SELECT CAST(quality AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) / 10000 AS x FROM labels JOIN documents USING (doc_id)"
+
+
+@query(_SUMS.format("SELECT CAST(l_quantity AS DOUBLE) AS y, CAST(l_discount AS DOUBLE) * 10 AS x FROM lineitem") + _newton("t", "exp({})", "exp({})", "ln(sum(t) / sum(n))")
+    + " SELECT 'poisson' AS family, round(a, 6) AS intercept, round(c, 6) AS slope FROM e WHERE step = 15")
+def glm_poisson(spark, sf_dir):
+    """A Poisson regression at its maximum."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("y"), (F.col("l_discount") * 10).alias("x"))
+    return _coefficients(spark, bam("y ~ x", li, "poisson", control=GamControl(epsilon=1e-13)))
+
+
+@query(_SUMS.format(_LOGIT) + _newton("t", "(1 / (1 + exp(-({}))))", "(exp(-({0})) / pow(1 + exp(-({0})), 2))", "ln(sum(t) / (sum(n) - sum(t)))")
+    + " SELECT 'binomial' AS family, round(a, 6) AS intercept, round(c, 6) AS slope FROM e WHERE step = 15")
+def glm_binomial(spark, sf_dir):
+    """A logistic regression at its maximum."""
+    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    t = t.select(F.col("quality").cast("double").alias("y"), (F.col("n_chars").cast("double") / 10000).alias("x"))
+    return _coefficients(spark, gam("y ~ x", t, "binomial", control=GamControl(epsilon=1e-13)))
+
+
+def _coefficients(spark, m):
+    return spark.createDataFrame([(m.family.name, round(float(m.beta[0]), 6), round(float(m.beta[1]), 6))], "family string, intercept double, slope double")
+
+
+@query("SELECT l_returnflag AS flag, round(avg(CAST(l_quantity AS DOUBLE)), 4) AS mu, round(stddev_pop(CAST(l_quantity AS DOUBLE)), 4) AS sigma FROM lineitem GROUP BY 1")
+def gamlss_groups(spark, sf_dir):
+    """Location and scale by group, whose maximum of the likelihood is each group's mean and deviation."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("y"))
+    m = gamlss.gamlss(["y ~ l_returnflag", "~ l_returnflag"], li, multifamilies.GaussianLS())
+    return m.predict(li.select("l_returnflag").distinct()).select(F.col("l_returnflag").alias("flag"), F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"))
+
+
 # -- fits without a closed form: rows only -------------------------------------------------------------------------
 
 @query()
