@@ -29,5 +29,5 @@ def test_stages_compose(spark, tmp_path):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
