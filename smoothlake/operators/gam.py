@@ -194,9 +194,12 @@ def _rows(narrow: DataFrame, n: int, f: Formula, fam: Family, control: GamContro
 
         small = compress(narrow, f, fam, discrete or BamControl(), weights).persist(StorageLevel.MEMORY_AND_DISK)
         groups = small.count()
-        if groups <= control.local_rows or groups < n / 4:
-            return rows_of(small, groups, control.local_rows)
+        if groups > control.local_rows and groups < n / 4:
+            return SparkRows(small, groups, (small,))
+        kept = rows_of(small, groups, control.local_rows) if groups <= control.local_rows else None
         small.unpersist()
+        if kept is not None:
+            return kept
     return rows_of(narrow, n, control.local_rows)
 
 
@@ -294,7 +297,7 @@ def _finish(design, rows, table, family, selector, rho, beta, stats, w, n, passe
         edf2=2 * edf - np.einsum("ij,ji->i", f, f), scale=scale, deviance=float(dev), null_deviance=null, pearson=float(pearson), n=int(n), sum_weights=float(total_w),
         criterion=float(selector.score(rho, replace(w, scale=1.0 if family.known_scale else None))), gram=w.g, rhs=w.b, zz=float(w.zz), passes=passes, converged=converged, table=table, rows=rows,
     )
-    m.log_likelihood = _log_likelihood(rows, m)
+    m.likelihood = log_likelihood
     return m
 
 
@@ -307,22 +310,38 @@ def _null_deviance(rows, family, response, mean) -> float:
     return float(rows.sweep(block)["d"][0])
 
 
-def _log_likelihood(rows, m: GamModel) -> float | None:
-    """Of the rows as they are; of compressed rows, from the deviance (exact for the Gaussian)."""
+def is_compressed(rows) -> bool:
+    return WITHIN in (rows.df.columns if isinstance(rows, SparkRows) else rows.columns)
+
+
+def log_likelihood(m: GamModel) -> float:
+    """Of all rows, by one rule however many they are and whether or not they were compressed.
+
+    Exponential families: that of the saturated model, which needs responses and weights alone, less half the
+    scaled deviance. Others: row by row. The Gaussian takes the scale that maximises it and, as is usual for
+    weighted fits, no term for the weights; quasi-likelihoods are those of their parent family."""
     family, design, beta = m.family, m.design, m.beta
-    scale = m.deviance / m.n if family.name == "normal" else m.scale
-    if family.name == "normal":
-        return float(-0.5 * m.n * (np.log(2 * np.pi * scale) + 1))
-    if WITHIN in getattr(rows, "columns", {}) or (isinstance(rows, SparkRows) and WITHIN in rows.df.columns):
-        return None
     response = design.formula.response
+    if family.name == "normal":
+        scale = m.deviance / m.n
+        return float(-0.5 * m.n * (np.log(2 * np.pi * scale) + 1)) if scale > 0 else float("inf")
+    if family.exponential:
+        scale = 1.0 if family.name.removeprefix("quasi") in ("poisson", "binomial") else m.scale
 
-    def block(cols):
+        def saturated(cols):
+            y, w = np.asarray(cols[response], float), np.asarray(cols[WEIGHT], float)
+            y, w = y[w > 0], w[w > 0]
+            return {"l": np.array([family.loglik(y, y, w, scale).sum()])}
+
+        rows = SparkRows(m.table.select(f"`{response}`", WEIGHT), m.n) if is_compressed(m.rows) else m.rows
+        return float(rows.sweep(saturated)["l"][0]) - m.deviance / (2 * scale)
+
+    def each(cols):
         y, w = np.asarray(cols[response], float), np.asarray(cols[WEIGHT], float)
         mu = family.clip(family.link.inv(design.matrix(cols) @ beta + cols[OFFSET]))
-        return {"l": np.array([family.loglik(y, mu, np.maximum(w, 1e-300), scale)[w > 0].sum()])}
+        return {"l": np.array([family.loglik(y, mu, np.maximum(w, 1e-300), m.scale)[w > 0].sum()])}
 
-    return float(rows.sweep(block)["l"][0])
+    return float(m.rows.sweep(each)["l"][0])
 
 
 __all__ = ["Beta", "BamControl", "GamControl", "bam", "bam_control", "gam", "gam_control"]

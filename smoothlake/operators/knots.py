@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from smoothlake.sources.rows import order_statistics
+
 
 def place_knots(df: DataFrame, column: str, k: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """knot_id, knot: k quantiles of the distinct values, ends included; with lo and hi, the interior ones between."""
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null").distinct()
     if lo is not None:
         x = x.where((F.col("x") > lo) & (F.col("x") < hi))
-    probs = [i / (k + 1) for i in range(1, k + 1)] if lo is not None else [i / (k - 1) for i in range(k)]
-    q = x.agg(F.percentile("x", F.array(*map(F.lit, probs))).alias("q"))
-    return q.select(F.posexplode("q").alias("knot_id", "knot"))
+    return _knots(x, [i / (k + 1) for i in range(1, k + 1)] if lo is not None else [i / (k - 1) for i in range(k)])
 
 
 def knot_quantiles(df: DataFrame, column: str, n: int) -> DataFrame:
     """knot_id, knot: ``n`` evenly spaced quantiles of the distinct values, ends left out."""
     if n < 0:
         raise ValueError("a number of knots is not negative")
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null").distinct()
-    q = x.agg(F.percentile("x", F.array(*[F.lit(i / (n + 1)) for i in range(1, n + 1)] or [F.lit(0.5)])).alias("q"))
-    return q.select(F.posexplode("q").alias("knot_id", "knot")).limit(n)
+    return _knots(df.select(F.col(column).cast("double").alias("x")).where("x is not null").distinct(), [i / (n + 1) for i in range(1, n + 1)])
+
+
+def _knots(distinct: DataFrame, probs: list[float]) -> DataFrame:
+    found = order_statistics(distinct.withColumn("n", F.lit(1)), probs) if probs else []
+    return distinct.sparkSession.createDataFrame(list(enumerate(found)), "knot_id int, knot double")
 
 
 def discretize_covariates(df: DataFrame, column: str, max_unique: int = 1000) -> DataFrame:
@@ -33,8 +36,8 @@ def discretize_covariates(df: DataFrame, column: str, max_unique: int = 1000) ->
     if len(found) <= max_unique:
         breaks = middles = sorted(found)
     else:
-        probs = F.array(*[F.lit(i / max_unique) for i in range(max_unique + 1)])
-        breaks = sorted(set(df.agg(F.percentile(x, probs)).first()[0]))
+        counted = df.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        breaks = sorted(set(order_statistics(counted, [i / max_unique for i in range(max_unique + 1)])))
         middles = [(a + b) / 2 for a, b in zip(breaks, breaks[1:], strict=False)]
         middles[0], middles[-1] = breaks[0], breaks[-1]
     # the last break at or below the value

@@ -41,6 +41,7 @@ class GamModel:
     table: DataFrame | None = field(default=None, repr=False)
     rows: Any = field(default=None, repr=False)
     log_likelihood: float | None = None
+    likelihood: Any = field(default=None, repr=False)  # the function that reckons it
     raw_beta: np.ndarray | None = None  # of shape-constrained models, before the exponential
 
     # -- plain accessors -------------------------------------------------------------------------------
@@ -78,7 +79,12 @@ class GamModel:
         return self.n - self.model_edf()
 
     def loglikelihood(self) -> float:
-        return self.log_likelihood if self.log_likelihood is not None else -0.5 * self.deviance / self.scale
+        """Of the rows; reckoned when first asked for, which may take a pass."""
+        if self.log_likelihood is None:
+            if self.likelihood is None or self.rows is None:
+                raise ValueError("this model has no likelihood, or was taken from its rows before it was asked for")
+            self.log_likelihood = self.likelihood(self)
+        return self.log_likelihood
 
     def aic(self) -> float:
         return -2 * self.loglikelihood() + 2 * self.dof()
@@ -237,4 +243,12 @@ class GamModel:
         """A copy without handles to a session, for pickling."""
         from dataclasses import replace
 
-        return replace(self, table=None, rows=None)
+        if self.likelihood is not None and self.rows is not None:
+            self.loglikelihood()
+        return replace(self, table=None, rows=None, likelihood=None)
+
+    def close(self) -> None:
+        """Frees the rows that the cluster holds for this model; what needs them again fails from then on."""
+        if self.rows is not None:
+            self.rows.close()
+            self.rows = None

@@ -1,13 +1,16 @@
 """Rows of a model: the passes over the data that every fitter needs, on Spark or on a small local table.
 
 A pass sends a function over blocks of columns and adds up the arrays it returns. On Spark a block is an
-Arrow batch, each task adds up its own blocks, and the tasks' sums are added up in packed pieces. A table of at most ``LOCAL`` rows, counted first, is held by the driver instead, so a fit of a
-small or compressible table costs a few jobs however many iterations it takes.
+Arrow batch, each task adds up its own blocks, and the tasks' sums are added up in packed pieces, ``FAN`` tasks at
+a time. A table of at most ``LOCAL`` rows, counted first, is held by the driver instead, so a fit of a small or
+compressible table costs a few jobs however many iterations it takes.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+import weakref
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOCAL = 200_000
-EXACT_QUANTILES = 2_000_000
 PIECE = 8192  # numbers of a packed piece of a task's sums
+FAN = 64  # pieces that one task adds up at most
 Columns = dict[str, np.ndarray]
 Pass = Callable[[Columns], dict[str, np.ndarray]]
 
@@ -80,23 +83,43 @@ class LocalRows:
     def select(self, f: Callable[[Columns], Columns]) -> LocalRows:
         return LocalRows(f(self.columns))
 
+    def close(self) -> None:
+        """Nothing is held on the cluster."""
+
 
 class SparkRows:
-    """Rows that stay on the cluster; ``df`` holds the model's columns only and is persisted by the caller."""
+    """Rows that stay on the cluster; ``df`` holds the model's columns only. ``held``: persisted tables that are freed
+    by ``close`` or when nothing refers to the rows any more."""
 
-    def __init__(self, df: DataFrame, n: int):
+    def __init__(self, df: DataFrame, n: int, held: tuple[DataFrame, ...] = ()):
         self.df, self.n = df, n
+        self._tasks: int | None = None
+        self._free = weakref.finalize(self, _free, held)
+        self._free.atexit = False  # the session goes with its storage
+
+    def close(self) -> None:
+        self._free()
+
+    @property
+    def tasks(self) -> int:
+        if self._tasks is None:
+            self._tasks = max(1, self.df.rdd.getNumPartitions())
+        return self._tasks
 
     def sweep(self, f: Pass) -> dict[str, np.ndarray]:
         """Sums over all rows of what ``f`` returns; names that begin with ``max_`` are maxima. A task hands on its sums
-        in packed pieces of ``PIECE`` numbers, which are added up on the executors as they come."""
-        schema = "name string, shape array<int>, at int, v binary"
-        fields = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("at", pa.int32()), ("v", pa.binary())])
+        in packed pieces of ``PIECE`` numbers; these are added up on the executors in levels, the same piece of
+        ``FAN`` tasks by one task, until one is left of each."""
+        schema = "name string, shape array<int>, at int, task int, v binary"
+        fields = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("at", pa.int32()), ("task", pa.int32()), ("v", pa.binary())])
 
-        def row(name, shape, at, v):
-            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((name, shape, at, v.tobytes()), fields, strict=True)], schema=fields)
+        def row(name, shape, at, task, v):
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((name, shape, at, task, v.tobytes()), fields, strict=True)], schema=fields)
 
         def run(batches):
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
             total: dict[str, np.ndarray] = {}
             for b in batches:
                 if b.num_rows:
@@ -104,25 +127,28 @@ class SparkRows:
             for name, v in total.items():
                 flat = np.ascontiguousarray(v, float).ravel()
                 for at in range(0, len(flat), PIECE):
-                    yield row(name, list(v.shape), at, flat[at : at + PIECE])
+                    yield row(name, list(v.shape), at, task, flat[at : at + PIECE])
 
         def add(batches):  # sorted, so one sum is held at a time
             key, total = None, None
             for b in batches:
-                for name, shape, at, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for name, shape, at, task, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     v = np.frombuffer(v)
-                    if key is not None and key[0] == name and key[2] == at:
+                    if key is not None and key[0] == name and key[2:] == (at, task):
                         total = np.maximum(total, v) if name.startswith("max_") else total + v
                         continue
                     if key is not None:
                         yield row(*key, total)
-                    key, total = (name, shape, at), v
+                    key, total = (name, shape, at, task), v
             if key is not None:
                 yield row(*key, total)
 
-        parts = self.df.mapInArrow(run, schema).repartition("name", "at").sortWithinPartitions("name", "at")
+        parts = self.df.mapInArrow(run, schema)
+        for _ in range(levels(self.tasks)):
+            parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int"))
+            parts = parts.repartition("name", "at", "task").sortWithinPartitions("name", "at", "task").mapInArrow(add, schema)
         out: dict[str, np.ndarray] = {}
-        for name, shape, at, v in parts.mapInArrow(add, schema).collect():
+        for name, shape, at, _, v in parts.collect():
             v = np.frombuffer(v)
             out.setdefault(name, np.zeros(tuple(shape))).reshape(-1)[at : at + len(v)] = v
         return out
@@ -132,11 +158,9 @@ class SparkRows:
         return {n: (float(r[2 * i]), float(r[2 * i + 1])) for i, n in enumerate(names)}
 
     def quantiles(self, name: str, probs: np.ndarray) -> np.ndarray:
-        """Of the distinct values: exact, or to a millionth of the ranks where there are very many."""
-        d = self.df.select(F.col(f"`{name}`").cast("double").alias("x")).distinct()
-        p = F.array(*[F.lit(float(q)) for q in probs])
-        exact = self.n <= EXACT_QUANTILES
-        return np.array(d.agg((F.percentile("x", p) if exact else F.percentile_approx("x", p, 1_000_000)).alias("q")).first().q, float)
+        """Of the distinct values."""
+        x = self.df.select(F.col(f"`{name}`").cast("double").alias("x"))
+        return np.array(order_statistics(x.distinct().withColumn("n", F.lit(1)), list(probs)), float)
 
     def distinct_count(self, name: str) -> int:
         return self.df.select(name).distinct().count()
@@ -161,6 +185,68 @@ class SparkRows:
         raise NotImplementedError("rows on the cluster are prepared as a DataFrame")
 
 
+def _free(held: tuple[DataFrame, ...]) -> None:
+    for df in held:
+        try:
+            df.unpersist()
+        except Exception:  # noqa: BLE001 - the session has ended, and its storage with it
+            return
+
+
+def levels(tasks: int) -> int:
+    """Rounds of adding up ``FAN`` at a time until one of ``tasks`` is left."""
+    n = 1
+    while tasks > FAN:
+        tasks, n = math.ceil(tasks / FAN), n + 1
+    return n
+
+
+def order_statistics(values: DataFrame, probs: list[float]) -> list[float]:
+    """Quantiles (linear between neighbours) of the values ``x``, each taken ``n`` times; none of an empty table.
+
+    The values are dealt by ranges; the driver gets a count per range, finds the ranges and places of the wanted
+    ranks and asks for these values alone. No task sees more than its range, at any size."""
+    from pyspark import StorageLevel
+
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = values.where("x IS NOT NULL").select("x", F.col("n").cast("long").alias("n")).repartitionByRange(parts, "x").sortWithinPartitions("x")
+    dealt = dealt.withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r.part: r.total for r in dealt.groupBy("part").agg(F.sum("n").alias("total")).collect()}
+        total, begin = 0, {}
+        for part in sorted(sizes):
+            begin[part] = total
+            total += sizes[part]
+        if not total:
+            return []
+        at = [min(max(p, 0.0), 1.0) * (total - 1) for p in probs]
+        ranks = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
+
+        def pick(batches):
+            wanted, before = None, 0
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if wanted is None:
+                    before = begin[b.column(2)[0].as_py()]
+                    wanted = ranks
+                ends = before + np.cumsum(b.column(1).to_numpy())
+                here = [r for r in wanted if before <= r < ends[-1]]
+                if here:
+                    found = b.column(0).take(pa.array(np.searchsorted(ends, here, "right")))
+                    yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), found], ["rank", "x"])
+                before = int(ends[-1])
+
+        found = {r["rank"]: r.x for r in dealt.mapInArrow(pick, "rank long, x double").collect()}
+    finally:
+        dealt.unpersist()
+    out = []
+    for a in at:
+        lo, hi = math.floor(a), math.ceil(a)
+        out.append(found[lo] if lo == hi else (hi - a) * found[lo] + (a - lo) * found[hi])
+    return out
+
+
 def _add(total: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> None:
     for k, v in more.items():
         v = np.asarray(v, float)
@@ -205,7 +291,8 @@ def rows_of(df: DataFrame, n: int, local: int | None = None) -> LocalRows | Spar
         return LocalRows(collect_columns(df))
     from pyspark import StorageLevel
 
-    return SparkRows(df.persist(StorageLevel.MEMORY_AND_DISK), n)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return SparkRows(kept, n, (kept,))
 
 
 def spark_type(v) -> T.DataType:
