@@ -10,7 +10,8 @@ The weights minimise ``|w|^2 / 2 + cost * sum of hinge losses`` by dual coordina
 blocks by a hash of the text; in a round every block improves its own dual variables with the weights it got
 and the change that its own steps make, counted once per block so that the blocks' changes may simply be
 added. Rounds end when the duality gap is below ``gap`` of the objective, so the result is the optimum, not what
-some number of rounds leaves. The tasks hold the texts; the driver holds weights and dual variables only.
+some number of rounds leaves. The tasks hold the texts; the driver holds weights and dual variables only, and hands
+them on by a file of the shared folder that lasts for the round.
 
 The same rounds fit the model once more without each of ``folds`` parts of the texts, with log ratios that leave the part
 out, too; the margins of the texts left out fix the logistic curve that turns margins into scores.
@@ -28,6 +29,7 @@ empty table gives an empty table. Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mix, staged, tune
+from ._common import WordHashes, file_system, mix, shared_dir, staged, tune
 
 
 @dataclass(frozen=True)
@@ -45,13 +47,13 @@ class QualityOptions:
 
     ids_per_class: int = 10_000
     block_texts: int = 8192
-    bits: int = 18
+    bits: int = 17
     shape: int = 4
     smoothing: float = 1.0
     cost: float = 1.0
     gap: float = 0.005
     rounds: int = 60
-    epochs: int = 3
+    epochs: int = 12
     folds: int = 3
 
 
@@ -234,14 +236,21 @@ def descend(blocks: DataFrame, ratios: list[np.ndarray], options: QualityOptions
     problems = [Problem(f, r, np.zeros(size + 1)) for f, r in zip((*range(folds), -1), ratios, strict=True)]
     count = blocks.count()
     shared = sc.broadcast([r.astype(np.float32) for r in ratios])
+    folder = shared_dir(blocks.sparkSession, "rounds")
+    fs, path = file_system(folder)
+    fs.create_dir(path, recursive=True)
     duals: dict[tuple[int, int], np.ndarray] = {}
     gaps = [1.0] * len(problems)
     out = pa.schema([("block", pa.int32()), ("problem", pa.int32()), ("alpha", pa.binary()), ("at", pa.binary()), ("change", pa.binary()), ("loss", pa.float64()), ("dual", pa.float64())])
     for turn in range(options.rounds):
-        now = sc.broadcast((turn, [p.weights for p in problems], duals, [g > options.gap for g in gaps]))
-
-        def run(batches, now=now):
-            turn, weights, duals, open_ = now.value
+        with fs.open_output_stream(f"{path}/{turn}") as sink:
+            sink.write(pickle.dumps(([p.weights for p in problems], duals)))
+        open_ = [g > options.gap for g in gaps]
+
+        def run(batches, turn=turn, open_=open_):
+            fs, path = file_system(folder)
+            with fs.open_input_file(f"{path}/{turn}") as source:
+                weights, duals = pickle.loads(source.read())
             for b in batches:
                 for block, h, y, starts, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     h, y, starts, ids = np.frombuffer(h, np.int64), np.frombuffer(y, np.int64) * 2.0 - 1, np.frombuffer(starts, np.int64), np.frombuffer(ids, np.uint32)
@@ -262,7 +271,7 @@ def descend(blocks: DataFrame, ratios: list[np.ndarray], options: QualityOptions
                         )
 
         rows = blocks.mapInArrow(run, "block int, problem int, alpha binary, at binary, change binary, loss double, dual double").collect()
-        now.unpersist()
+        fs.delete_file(f"{path}/{turn}")
         for k, p in enumerate(problems):
             own = sorted((r for r in rows if r["problem"] == k), key=lambda r: r["block"])
             if not own:
