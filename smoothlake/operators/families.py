@@ -11,10 +11,10 @@ from smoothlake.functions.special import digamma, expit, lgamma, normal_cdf, nor
 
 
 class Link:
-    """g, its inverse and the inverse's first two derivatives."""
+    """g, its inverse and the inverse's first three derivatives."""
 
     def __init__(self, name, g, inv, d1, d2):
-        self.name, self.g, self.inv, self.d1, self.d2 = name, g, inv, d1, d2
+        self.name, self.g, self.inv, self.d1, self.d2, self.d3 = name, g, inv, d1, d2, THIRD[name]
 
     def __reduce__(self):
         return (link, (self.name,))
@@ -36,6 +36,19 @@ LINKS = {
     "cloglog": (lambda m: np.log(-np.log1p(-m)), lambda e: -np.expm1(-np.exp(np.clip(e, -700, 30))), _cloglog_d, lambda e: _cloglog_d(e) * (1 - np.exp(np.clip(e, -700, 30)))),
 }
 
+#: Third derivatives of the inverses.
+THIRD = {
+    "identity": np.zeros_like,
+    "log": LINKS["log"][1],
+    "logit": lambda e: expit(e) * expit(-e) * (1 - 6 * expit(e) * expit(-e)),
+    "inverse": lambda e: -6 / e**4,
+    "inverse_squared": lambda e: -1.875 * e**-3.5,
+    "sqrt": np.zeros_like,
+    "probit": lambda e: (e * e - 1) * normal_pdf(e),
+    "cauchit": lambda e: (6 * e * e - 2) / (math.pi * (1 + e * e) ** 3),
+    "cloglog": lambda e: _cloglog_d(e) * ((1 - np.exp(np.clip(e, -700, 30))) ** 2 - np.exp(np.clip(e, -700, 30))),
+}
+
 
 def link(name: str) -> Link:
     if name not in LINKS:
@@ -82,6 +95,9 @@ class Family:
     def variance_d(self, mu):
         return np.zeros_like(mu)
 
+    def variance_d2(self, mu):
+        return np.zeros_like(mu)
+
     def deviance(self, y, mu, w):
         return w * (y - mu) ** 2
 
@@ -167,6 +183,9 @@ class Binomial(Family):
     def variance_d(self, mu):
         return 1 - 2 * mu
 
+    def variance_d2(self, mu):
+        return np.full_like(mu, -2.0)
+
     def deviance(self, y, mu, w):
         return 2 * w * (xlogy(y, y / mu) + xlogy(1 - y, (1 - y) / (1 - mu)))
 
@@ -204,6 +223,9 @@ class Gamma(Family):
     def variance_d(self, mu):
         return 2 * mu
 
+    def variance_d2(self, mu):
+        return np.full_like(mu, 2.0)
+
     def deviance(self, y, mu, w):
         return 2 * w * ((y - mu) / mu - np.log(y / mu))
 
@@ -229,6 +251,9 @@ class InverseGaussian(Gamma):
     def variance_d(self, mu):
         return 3 * mu * mu
 
+    def variance_d2(self, mu):
+        return 6 * mu
+
     def deviance(self, y, mu, w):
         return w * (y - mu) ** 2 / (mu * mu * y)
 

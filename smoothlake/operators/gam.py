@@ -141,14 +141,15 @@ def working_pass(design: Design, family: Family, response: str, beta: np.ndarray
     return block
 
 
-def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = None, method: str = "REML", weights: str | None = None, offset: str | None = None, control: GamControl = GamControl(), na_action: str = "fail", optimizer: str = "efs", discrete: BamControl | None = None, **more):
+def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = None, method: str = "REML", weights: str | None = None, offset: str | None = None, control: GamControl = GamControl(), na_action: str = "fail", optimizer: str = "efs", discrete: BamControl | None = None, start=None, **more):
     """Fits an additive model. Multi-parameter families, shape constraints, linear constraints, random effects
-    and priors go to their own fitters."""
+    and priors go to their own fitters. optimizer: ``efs`` (iterated working models) or ``general`` (Newton's method on
+    the likelihood, smoothing by its Laplace approximation). start: coefficients to begin with."""
     from smoothlake.operators.gamlss import gamlss
     from smoothlake.operators.multifamilies import MultiFamily
 
-    if optimizer != "efs":
-        raise ValueError(f"optimizer is efs, not {optimizer}")
+    if optimizer not in ("efs", "general"):
+        raise ValueError(f"optimizer is efs or general, not {optimizer}")
     if isinstance(family, MultiFamily):
         if offset is not None or more.get("priors") is not None:
             raise ValueError("families with several parameters take no offset and no priors")
@@ -167,6 +168,8 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     if f.random:
         from smoothlake.operators.gamm import gamm
 
+        if optimizer == "general" or start is not None:
+            raise ValueError("models with random effects take the optimizer efs and no start")
         return gamm(f, df, fam, method=method, weights=weights, offset=offset, control=control, na_action=na_action)
     narrow, n, ranges = prepare(df, f, weights, offset, na_action, _extra_columns(f))
     problem = fam.valid(*ranges[f.response])
@@ -178,8 +181,18 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     if design.positive().any() or design.inequalities() is not None or design.equalities() is not None:
         from smoothlake.operators.scam import fit_constrained
 
+        if optimizer == "general" or start is not None:
+            raise ValueError("constrained models take the optimizer efs and no start")
         return fit_constrained(design, rows, narrow, fam, method, control, n)
-    return fit_design(design, rows, narrow, fam, method, control, n)
+    if start is not None and len(start) != design.p:
+        raise ValueError(f"start has {len(start)} coefficients, the model {design.p}")
+    if optimizer == "general":
+        from smoothlake.operators.general import fit_general
+
+        if method.upper() != "REML":
+            raise ValueError(f"the general optimizer takes REML, not {method}")
+        return fit_general(design, rows, narrow, fam, control, n, start)
+    return fit_design(design, rows, narrow, fam, method, control, n, start)
 
 
 def _extra_columns(f: Formula) -> list[str]:
@@ -210,12 +223,12 @@ def bam(formula, df: DataFrame, family=None, link=None, method: str = "REML", we
     return gam(formula, df, family, link, method, weights, offset, control, na_action, discrete=bam_ctrl)
 
 
-def fit_design(design: Design, rows: LocalRows | SparkRows, table: DataFrame, family: Family, method: str, control: GamControl, n: int) -> GamModel:
+def fit_design(design: Design, rows: LocalRows | SparkRows, table: DataFrame, family: Family, method: str, control: GamControl, n: int, start=None) -> GamModel:
     selector = Selector(design, method, control.gamma)
     response = design.formula.response
     family = replace(family)
     direct = family.name == "normal" and family.link_name == "identity"
-    rho = beta = None
+    rho, beta = None, None if start is None or direct else np.asarray(start, float)
     passes, halvings, moved = 0, 0, 0.0
     previous, last = None, None  # coefficients and deviance before the last step
     stats = None
@@ -224,7 +237,7 @@ def fit_design(design: Design, rows: LocalRows | SparkRows, table: DataFrame, fa
         r = rows.sweep(working_pass(design, family, response, beta))
         passes += 1
         zz, dev, pearson, total_w, wy, n_used, _ = r["s"]
-        if beta is not None:
+        if rho is not None:
             s = selector.penalty(rho)
             pdev = dev + beta @ s @ beta
             # the step is judged under the smoothing parameters it was made with
@@ -320,7 +333,7 @@ def log_likelihood(m: GamModel) -> float:
     Exponential families: that of the saturated model, which needs responses and weights alone, less half the
     scaled deviance. Others: row by row. The Gaussian takes the scale that maximises it and, as is usual for
     weighted fits, no term for the weights; quasi-likelihoods are those of their parent family."""
-    family, design, beta = m.family, m.design, m.beta
+    family, design, beta, dispersion = m.family, m.design, m.beta, m.scale
     response = design.formula.response
     if family.name == "normal":
         scale = m.deviance / m.n
@@ -339,7 +352,7 @@ def log_likelihood(m: GamModel) -> float:
     def each(cols):
         y, w = np.asarray(cols[response], float), np.asarray(cols[WEIGHT], float)
         mu = family.clip(family.link.inv(design.matrix(cols) @ beta + cols[OFFSET]))
-        return {"l": np.array([family.loglik(y, mu, np.maximum(w, 1e-300), m.scale)[w > 0].sum()])}
+        return {"l": np.array([family.loglik(y, mu, np.maximum(w, 1e-300), dispersion)[w > 0].sum()])}
 
     return float(m.rows.sweep(each)["l"][0])
 

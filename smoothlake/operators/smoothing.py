@@ -99,6 +99,16 @@ class Selector:
                 total += log_det(s)
         return total
 
+    def penalty_traces(self, rho) -> dict[int, float]:
+        """Of each penalty, the derivative of the log determinant in its log smoothing parameter."""
+        out = {}
+        for group, at, base in self._groups():
+            m = sum(np.exp(rho[j]) * self.units[j][np.ix_(at, at)] for j in group)
+            back = base @ inverse(base.T @ m @ base) @ base.T if base.size else np.zeros((len(at), len(at)))
+            for j in group:
+                out[j] = float(np.exp(rho[j]) * (back * self.units[j][np.ix_(at, at)]).sum())
+        return out
+
     def _groups(self):
         if not hasattr(self, "_grouped"):
             sets = [set(np.flatnonzero(np.abs(u).sum(0) > 0).tolist()) for u in self.units]
@@ -159,12 +169,7 @@ class Selector:
             beta = inv @ w.b
             edf = float((inv * w.g).sum())
             scale = w.scale or max(w.zz - 2 * beta @ w.b + beta @ w.g @ beta, 1e-12 * abs(w.zz)) / max(w.n - edf, 1.0)
-            plus = {}
-            for group, at, base in self._groups():
-                m = sum(np.exp(rho[j]) * self.units[j][np.ix_(at, at)] for j in group)
-                back = base @ inverse(base.T @ m @ base) @ base.T if base.size else np.zeros((len(at), len(at)))
-                for j in group:
-                    plus[j] = float((back * self.units[j][np.ix_(at, at)]).sum())
+            plus = {j: v / np.exp(rho[j]) for j, v in self.penalty_traces(rho).items()}
             moved = 0.0
             for j in self.free:
                 u = self.units[j]

@@ -176,10 +176,11 @@ def bind(formula: Formula, rows, side: bool = True) -> Design:
     unique = list({id(b): b for _, b, _, _ in made}.values())
 
     def profile(cols):
-        out = {}
+        counts = np.asarray(cols["__rows"], float) if "__rows" in cols else np.ones(size_of(cols))  # of compressed rows
+        out = {"rows": np.array([counts.sum()])}
         for i, b in enumerate(unique):
             x = b.raw(cols)
-            out[f"sum{i}"], out[f"max_{i}"] = x.sum(0), np.array([np.abs(x).sum(1).max()])
+            out[f"sum{i}"], out[f"max_{i}"] = counts @ x, np.array([np.abs(x).sum(1).max()])
         return out
 
     stats = rows.sweep(profile) if unique else {}
@@ -187,7 +188,7 @@ def bind(formula: Formula, rows, side: bool = True) -> Design:
     start = len(names)
     for spec, basis, level, numeric in made:
         i = next(j for j, b in enumerate(unique) if b is basis)
-        mean = stats[f"sum{i}"] / rows.n
+        mean = stats[f"sum{i}"] / stats["rows"][0]
         shift = None
         if isinstance(basis, ShapeSpline):
             turn, shift = np.eye(basis.width), mean

@@ -352,6 +352,31 @@ def glm_binomial(spark, sf_dir):
     return _coefficients(spark, gam("y ~ x", t, "binomial", control=GamControl(epsilon=1e-13)))
 
 
+_POISSON_ROWS = "SELECT CAST(l_quantity AS DOUBLE) AS y, CAST(l_tax AS DOUBLE) * 10 AS x FROM lineitem"
+_AT_END = "SELECT '{0}' AS family, round(a, 5) AS intercept, round(c, 5) AS slope, round(sum(t.t * (a + c * t.x) - {1}){2}, 3) AS loglik FROM t, e WHERE step = 15 GROUP BY a, c"
+
+
+@query(_SUMS.format(_POISSON_ROWS) + _newton("t", "exp({})", "exp({})", "ln(sum(t) / sum(n))") + _AT_END.format("poisson", "t.n * exp(a + c * t.x)", f" - (SELECT sum(lgamma(y + 1)) FROM ({_POISSON_ROWS}))"))
+def general_poisson(spark, sf_dir):
+    """A Poisson regression by the general optimizer over rows on the cluster, with its likelihood."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("y"), (F.col("l_tax") * 10).alias("x"))
+    return _with_likelihood(spark, gam("y ~ x", li, "poisson", optimizer="general", control=GamControl(local_rows=0)))
+
+
+@query(_SUMS.format(_LOGIT) + _newton("t", "(1 / (1 + exp(-({}))))", "(exp(-({0})) / pow(1 + exp(-({0})), 2))", "ln(sum(t) / (sum(n) - sum(t)))") + _AT_END.format("binomial", "t.n * ln(1 + exp(a + c * t.x))", ""))
+def general_binomial(spark, sf_dir):
+    """A logistic regression by the general optimizer over rows on the cluster, with its likelihood."""
+    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    t = t.select(F.col("quality").cast("double").alias("y"), (F.col("n_chars").cast("double") / 10000).alias("x"))
+    return _with_likelihood(spark, gam("y ~ x", t, "binomial", optimizer="general", control=GamControl(local_rows=0)))
+
+
+def _with_likelihood(spark, m):
+    row = (m.family.name, round(float(m.beta[0]), 5), round(float(m.beta[1]), 5), round(m.loglikelihood(), 3))
+    m.close()
+    return spark.createDataFrame([row], "family string, intercept double, slope double, loglik double")
+
+
 def _coefficients(spark, m):
     return spark.createDataFrame([(m.family.name, round(float(m.beta[0]), 6), round(float(m.beta[1]), 6))], "family string, intercept double, slope double")
 

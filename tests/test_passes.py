@@ -78,6 +78,16 @@ def test_likelihood_is_the_same_on_every_path(spark, family):
     assert models[3].state().loglikelihood() == pytest.approx(values[0] / -2 + m.dof(), rel=1e-8)
 
 
+@pytest.mark.parametrize("family", ["nb", "tw", "betar"])
+def test_likelihood_of_other_families_on_the_cluster(spark, family):
+    rng = np.random.default_rng(9)
+    x = rng.random(150)
+    y = rng.beta(2, 3, 150) if family == "betar" else rng.poisson(np.exp(1 + x)).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").repartition(3)
+    a, b = (gam("y ~ x", df, family, control=GamControl(local_rows=n)) for n in (1000, 0))
+    assert a.aic() == pytest.approx(b.aic(), rel=1e-6)
+
+
 def test_perfect_fits_have_no_finite_likelihood(spark):
     df = spark.createDataFrame([(float(i), 3.0) for i in range(9)], "x double, y double")
     assert gam("y ~ 1", df).loglikelihood() == float("inf")
