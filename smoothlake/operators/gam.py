@@ -151,9 +151,9 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     if optimizer not in ("efs", "general"):
         raise ValueError(f"optimizer is efs or general, not {optimizer}")
     if isinstance(family, MultiFamily):
-        if offset is not None or more.get("priors") is not None:
-            raise ValueError("families with several parameters take no offset and no priors")
-        return gamlss(formula, df, family, weights=weights, na_action=na_action, **more)
+        if more.pop("priors", None) is not None or optimizer != "efs" or start is not None:
+            raise ValueError("families with several parameters take no priors, the optimizer efs and no start")
+        return gamlss(formula, df, family, weights=weights, offset=offset, control=control, na_action=na_action, **more)
     if isinstance(formula, (list, tuple)):
         raise ValueError("several formulas need a family with several parameters")
     f = parse(formula)

@@ -42,8 +42,9 @@ evgam_control = mp_control = gamlss_control
 class Stacked:
     """The designs of several predictors side by side, as smoothing selection wants them."""
 
-    def __init__(self, designs: list[Design]):
+    def __init__(self, designs: list[Design], offsets: list[str | None] | None = None):
         self.designs = designs
+        self.offsets = offsets or [None] * len(designs)
         self.starts = np.concatenate(([0], np.cumsum([d.p for d in designs]))).astype(int)
         self.p = int(self.starts[-1])
         self.penalties: list[Penalty] = []
@@ -70,13 +71,30 @@ def _selector(design, control: GamlssControl) -> Selector:
     return s
 
 
+def predictors(stacked: Stacked, beta: np.ndarray, cols, xs=None) -> list[np.ndarray]:
+    """The linear predictors of a block, with their offsets."""
+    xs = [d.matrix(cols) for d in stacked.designs] if xs is None else xs
+    etas = [x @ beta[stacked.part(i)] for i, x in enumerate(xs)]
+    return [e if o is None else e + np.asarray(cols[o], float) for e, o in zip(etas, stacked.offsets, strict=True)]
+
+
+def value_pass(stacked: Stacked, family: MultiFamily, response: str, beta: np.ndarray):
+    """The negative log-likelihood alone: what a trial step needs."""
+
+    def block(cols):
+        f = family.nll_eta(np.asarray(cols[response], float), predictors(stacked, beta, cols))
+        return {"s": np.array([(np.asarray(cols[WEIGHT], float) * f).sum()])}
+
+    return block
+
+
 def likelihood_pass(stacked: Stacked, family: MultiFamily, response: str, beta: np.ndarray):
     designs, starts, p, k = stacked.designs, stacked.starts, stacked.p, len(stacked.designs)
 
     def block(cols):
         xs = [d.matrix(cols) for d in designs]
         y, w = np.asarray(cols[response], float), np.asarray(cols[WEIGHT], float)
-        etas = [x @ beta[starts[i] : starts[i + 1]] for i, x in enumerate(xs)]
+        etas = predictors(stacked, beta, cols, xs)
         f, g, h = family.derivatives(y, etas)
         grad, hess = np.zeros(p), np.zeros((p, p))
         for i in range(k):
@@ -141,11 +159,14 @@ def fit_stacked(stacked: Stacked, rows, family: MultiFamily, response: str, star
             step[out] = 0.0
             old = nll + 0.5 * beta @ s @ beta
             size = 1.0
-            for _ in range(14):
+            for attempt in range(14):
                 trial = beta + size * step
-                t = sweep(trial)
+                # the whole step is taken as a rule and needs its derivatives then; shorter ones are tried by value
+                t = sweep(trial) if attempt == 0 else rows.sweep(value_pass(stacked, family, response, trial))
                 passes += 1
                 if np.isfinite(t["s"][0]) and t["s"][0] + 0.5 * trial @ s @ trial <= old + 1e-9 * (1 + abs(old)):
+                    if attempt:
+                        t, passes = sweep(trial), passes + 1
                     beta, r, nll = trial, t, t["s"][0]
                     break
                 size /= 3
@@ -183,6 +204,17 @@ class MultiParameterModel:
         k = name if isinstance(name, int) else self.family.names.index(name)
         return self.beta[self.stacked.part(k)]
 
+    def param_eta(self, name: str | int, newdata: DataFrame | None = None) -> DataFrame:
+        """The table with ``eta``, the linear predictor of one parameter."""
+        k = name if isinstance(name, int) else self.family.names.index(name)
+        df, stacked, beta = self.table if newdata is None else newdata, self.stacked, self.beta
+
+        def block(cols):
+            eta = stacked.designs[k].matrix(cols) @ beta[stacked.part(k)]
+            return {"eta": eta if stacked.offsets[k] is None else eta + np.asarray(cols[stacked.offsets[k]], float)}
+
+        return add_columns(df, self.needed(), block, ["eta"])
+
     def coef(self):
         return self.beta
 
@@ -224,7 +256,8 @@ class MultiParameterModel:
         return (self.table.sparkSession if self.table is not None else SparkSession.getActiveSession()).createDataFrame(out, "parameter string, term string, estimate double, std_error double, statistic double")
 
     def needed(self) -> list[str]:
-        return list(dict.fromkeys(c for f in self.formula for c in f.columns if c != f.response))
+        """The columns that a prediction reads, offsets among them."""
+        return list(dict.fromkeys([*(c for f in self.formula for c in f.columns if c != f.response), *(o for o in self.stacked.offsets if o)]))
 
     def predict(self, newdata: DataFrame | None = None, type: str = "response", se: bool = False) -> DataFrame:
         """The table with a column per parameter (and ``<name>_se``), on the response or the link scale."""
@@ -238,7 +271,7 @@ class MultiParameterModel:
             for k, n in enumerate(family.names):
                 x = stacked.designs[k].matrix(cols)
                 at = stacked.part(k)
-                eta = x @ beta[at]
+                eta = x @ beta[at] if stacked.offsets[k] is None else x @ beta[at] + np.asarray(cols[stacked.offsets[k]], float)
                 g = link(family.links[k])
                 out[n] = g.inv(eta) if type == "response" else eta
                 if se:
@@ -254,8 +287,7 @@ class MultiParameterModel:
         y = self.formula[0].response
 
         def block(cols):
-            etas = [d.matrix(cols) @ beta[stacked.part(k)] for k, d in enumerate(stacked.designs)]
-            return {"nll": family.nll_eta(cols[y], etas)}
+            return {"nll": family.nll_eta(cols[y], predictors(stacked, beta, cols))}
 
         return add_columns(df, [*self.needed(), y], block, ["nll"])
 
@@ -267,8 +299,9 @@ class MultiParameterModel:
     __str__ = summary
 
 
-def gamlss(formulas, df: DataFrame, family: MultiFamily | str, weights: str | None = None, method: str = "efs", control: GamControl = GamControl(), gamlss_ctrl: GamlssControl = GamlssControl(), na_action: str = "fail", start: list[float] | None = None, sp: list[float] | None = None) -> MultiParameterModel:
-    """Fits a formula per parameter (one formula is used for all; later formulas may leave the response out)."""
+def gamlss(formulas, df: DataFrame, family: MultiFamily | str, weights: str | None = None, method: str = "efs", control: GamControl = GamControl(), gamlss_ctrl: GamlssControl = GamlssControl(), na_action: str = "fail", start: list[float] | None = None, sp: list[float] | None = None, offset: str | list[str | None] | None = None) -> MultiParameterModel:
+    """Fits a formula per parameter (one formula is used for all; later formulas may leave the response out).
+    offset: a column that is added to the first predictor, or a list with one (or None) for each."""
     if isinstance(family, str):
         family = DISTRIBUTIONS[family.lower()]()
     if method not in ("efs", "rs", "cg"):
@@ -280,17 +313,20 @@ def gamlss(formulas, df: DataFrame, family: MultiFamily | str, weights: str | No
     response = parsed[0].response
     parsed = [Formula(response, f.parametric, f.intercept, f.smooths, f.random) for f in parsed]
     union = Formula(response, tuple(dict.fromkeys(t for f in parsed for t in f.parametric)), True, tuple(s for f in parsed for s in f.smooths))
-    narrow, n, ranges = prepare(df, union, weights, None, na_action)
+    offsets = list(offset) if isinstance(offset, (list, tuple)) else [offset] + [None] * (family.nparams() - 1)
+    if len(offsets) != family.nparams():
+        raise ValueError(f"{type(family).__name__} takes {family.nparams()} offsets, got {len(offsets)}")
+    narrow, n, ranges = prepare(df, union, weights, None, na_action, [o for o in offsets if o])
     problem = family.valid(*ranges[response])
     if problem:
         raise ValueError(problem)
     rows = rows_of(narrow, n, control.local_rows)
     designs = [bind(f, rows) for f in parsed]
-    return _fit_model(designs, parsed, rows, narrow, family, response, n, method, gamlss_ctrl, start, ranges[response][0], sp)
+    return _fit_model(designs, parsed, rows, narrow, family, response, n, method, gamlss_ctrl, start, ranges[response][0], sp, offsets)
 
 
-def _fit_model(designs, parsed, rows, table, family, response, n, method, control, start=None, lo=0.0, sp=None) -> MultiParameterModel:
-    stacked = Stacked(designs)
+def _fit_model(designs, parsed, rows, table, family, response, n, method, control, start=None, lo=0.0, sp=None, offsets=None) -> MultiParameterModel:
+    stacked = Stacked(designs, offsets)
     m = rows.sweep(lambda cols: {"m": np.array([(cols[WEIGHT] * cols[response]).sum(), (cols[WEIGHT] * cols[response] ** 2).sum(), cols[WEIGHT].sum()])})["m"]
     mean = m[0] / m[2]
     etas = start or family.start(mean, float(np.sqrt(max(m[1] / m[2] - mean**2, 1e-12))), lo)

@@ -1,7 +1,7 @@
 """Families with several linear predictors: location-scale-shape and extreme values.
 
-A family says its negative log-likelihood in the parameters; derivatives in the predictors are analytic where
-given and central differences otherwise.
+A family says its negative log-likelihood in the parameters, once, for arrays and for second-order jets; with the
+predictors as jets its derivatives are exact.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import math
 
 import numpy as np
 
-from smoothlake.functions.special import expit, lgamma, log1pexp, normal_ppf
+from smoothlake.functions.jets import Jet, apply_link, exp, expm1, log, log1p, log1p_ratio, log_gamma, logistic, softplus, value, where
+from smoothlake.functions.special import expit, log1pexp, normal_ppf
 from smoothlake.operators.families import link
 
 BAD = 1e10  # a row outside the support
@@ -43,7 +44,7 @@ class MultiFamily:
     def nll_eta(self, y, etas) -> np.ndarray:
         with np.errstate(all="ignore"):
             v = self.nll(y, *self.inverse(etas))
-        return np.where(np.isfinite(v), np.minimum(v, BAD), BAD)
+        return np.where(np.isfinite(v), v, BAD)
 
     def start(self, mean: float, sd: float, lo: float) -> list[float]:
         raise NotImplementedError
@@ -53,34 +54,20 @@ class MultiFamily:
 
     def derivatives(self, y, etas) -> tuple[np.ndarray, list[np.ndarray], list[list[np.ndarray]]]:
         """(nll, gradient by predictor, second derivatives by pair)."""
-        k = len(etas)
-        f0 = self.nll_eta(y, etas)
-        h1, h2 = 1e-5, 2e-4
-
-        def at(*moves):
-            e = list(etas)
-            for i, d in moves:
-                e[i] = e[i] + d
-            return self.nll_eta(y, e)
-
-        grad = [(at((i, h1)) - at((i, -h1))) / (2 * h1) for i in range(k)]
-        hess = [[np.zeros_like(f0)] * k for _ in range(k)]
-        for i in range(k):
-            hess[i][i] = (at((i, h2)) + at((i, -h2)) - 2 * f0) / h2**2
-            for j in range(i):
-                v = (at((i, h2), (j, h2)) - at((i, h2), (j, -h2)) - at((i, -h2), (j, h2)) + at((i, -h2), (j, -h2))) / (4 * h2**2)
-                hess[i][j] = hess[j][i] = v
-        ok = f0 < BAD
-        grad = [np.where(ok, np.clip(g, -1e6, 1e6), 0.0) for g in grad]
-        hess = [[np.where(ok, np.clip(v, -1e8, 1e8), 0.0) for v in row] for row in hess]
-        return f0, grad, hess
+        with np.errstate(all="ignore"):
+            jets = [apply_link(link(n), e) for n, e in zip(self.links, Jet.variables(etas), strict=True)]
+            f, grad, hess = self.nll(np.asarray(y, float), *jets).parts()
+        ok = np.isfinite(f)
+        for v in (*grad, *(x for row in hess for x in row)):
+            ok &= np.isfinite(v)
+        return np.where(ok, f, BAD), [np.where(ok, v, 0.0) for v in grad], [[np.where(ok, v, 0.0) for v in row] for row in hess]
 
 
 class GaussianLS(MultiFamily):
     names, links = ("mu", "sigma"), ("identity", "log")
 
     def nll(self, y, mu, sigma):
-        return 0.5 * ((y - mu) / sigma) ** 2 + np.log(sigma) + 0.5 * math.log(2 * math.pi)
+        return 0.5 * ((y - mu) / sigma) ** 2 + log(sigma) + 0.5 * math.log(2 * math.pi)
 
     def start(self, mean, sd, lo):
         return [mean, math.log(max(sd, 1e-8))]
@@ -102,7 +89,7 @@ class GammaLS(MultiFamily):
 
     def nll(self, y, mu, sigma):
         a = 1 / sigma**2
-        return lgamma(a) - a * np.log(a) + a * np.log(mu) - (a - 1) * np.log(y) + a * y / mu
+        return log_gamma(a) - a * log(a) + a * log(mu) - (a - 1) * np.log(y) + a * y / mu
 
     def start(self, mean, sd, lo):
         return [math.log(mean), math.log(max(sd / mean, 1e-4))]
@@ -113,7 +100,7 @@ class BetaLS(MultiFamily):
 
     def nll(self, y, mu, phi):
         a, b = mu * phi, (1 - mu) * phi
-        return lgamma(a) + lgamma(b) - lgamma(phi) - (a - 1) * np.log(y) - (b - 1) * np.log1p(-y)
+        return log_gamma(a) + log_gamma(b) - log_gamma(phi) - (a - 1) * np.log(y) - (b - 1) * np.log1p(-y)
 
     def start(self, mean, sd, lo):
         phi = max(mean * (1 - mean) / max(sd, 1e-6) ** 2 - 1, 0.1)
@@ -130,7 +117,7 @@ class NegBinLS(MultiFamily):
 
     def nll(self, y, mu, sigma):
         r = 1 / sigma**2
-        return lgamma(r) + lgamma(y + 1) - lgamma(y + r) - r * np.log(r / (r + mu)) - np.where(y > 0, y * np.log(mu / (r + mu)), 0.0)
+        return log_gamma(r) + log_gamma(y + 1) - log_gamma(y + r) - r * log(r / (r + mu)) - y * log(mu / (r + mu))
 
     def start(self, mean, sd, lo):
         return [math.log(max(mean, 1e-3)), 0.5 * math.log(max((sd**2 - mean) / max(mean, 1e-3) ** 2, 0.05))]
@@ -143,7 +130,7 @@ class InverseGaussianLS(MultiFamily):
 
     def nll(self, y, mu, sigma):
         lam = mu / sigma**2
-        return 0.5 * (math.log(2 * math.pi) + 3 * np.log(y) - np.log(lam)) + lam * (y - mu) ** 2 / (2 * mu * mu * y)
+        return 0.5 * (math.log(2 * math.pi) + 3 * np.log(y) - log(lam)) + lam * (y - mu) ** 2 / (2 * mu * mu * y)
 
     def start(self, mean, sd, lo):
         return [math.log(mean), math.log(max(sd / mean, 1e-3))]
@@ -155,13 +142,9 @@ class GEV(MultiFamily):
     names, links = ("mu", "psi", "xi"), ("identity", "identity", "identity")
 
     def nll(self, y, mu, psi, xi):
-        z = (y - mu) * np.exp(-psi)
-        flat = np.abs(xi) < 1e-6
-        x = np.where(flat, 1.0, xi)
-        t = 1 + x * z
-        safe = np.where(t > 0, t, 1.0)
-        curved = psi + (1 / x + 1) * np.log(safe) + np.exp(np.clip(-np.log(safe) / x, -700, 700))
-        return np.where(flat, psi + z + np.exp(np.clip(-z, -700, 700)), np.where(t > 0, curved, np.inf))
+        z = (y - mu) * exp(-psi)
+        t = z * log1p_ratio(xi * z)  # log(1 + xi z) / xi; not a number outside the support
+        return psi + (xi + 1) * t + exp(-t)
 
     def start(self, mean, sd, lo):
         s = sd * math.sqrt(6) / math.pi
@@ -169,15 +152,10 @@ class GEV(MultiFamily):
 
 
 def _gpd(y, psi, xi):
-    """(nll, log survival) of the generalised Pareto distribution."""
-    z = y * np.exp(-psi)
-    flat = np.abs(xi) < 1e-6
-    x = np.where(flat, 1.0, xi)
-    t = 1 + x * z
-    ok = (t > 0) & (y >= 0)
-    logt = np.log(np.where(ok, t, 1.0))
-    nll = np.where(flat, psi + z, psi + (1 / x + 1) * logt)
-    return np.where(ok | flat, nll, np.inf), np.where(flat, -z, -logt / x)
+    """(nll, log survival) of the generalised Pareto distribution; not numbers outside its support."""
+    z = np.where(y >= 0, y, np.nan) * exp(-psi)
+    t = z * log1p_ratio(xi * z)
+    return psi + (xi + 1) * t, -t
 
 
 class GPD(MultiFamily):
@@ -206,7 +184,7 @@ class EGPD1(MultiFamily):
 
     def nll(self, y, psi, xi, lk):
         n, s = _gpd(y, psi, xi)
-        return n + (1 - np.exp(lk)) * np.log(-np.expm1(s)) - lk
+        return n + (1 - exp(lk)) * log(-expm1(s)) - lk
 
     def start(self, mean, sd, lo):
         return [math.log(mean), 0.1, 0.0]
@@ -219,11 +197,11 @@ class EGPD2(MultiFamily):
 
     def nll(self, y, psi, xi, lk, ld, lp):
         n, s = _gpd(y, psi, xi)
-        logf = np.log(-np.expm1(s))
-        k1 = np.exp(lk)
-        k2 = k1 + np.exp(ld)
-        p = expit(lp)
-        return n - np.log(p * k1 * np.exp((k1 - 1) * logf) + (1 - p) * k2 * np.exp((k2 - 1) * logf))
+        logf = log(-expm1(s))
+        k1 = exp(lk)
+        k2 = k1 + exp(ld)
+        p = logistic(lp)
+        return n - log(p * k1 * exp((k1 - 1) * logf) + (1 - p) * k2 * exp((k2 - 1) * logf))
 
     def start(self, mean, sd, lo):
         return [math.log(mean), 0.05, 0.0, 0.0, 0.0]
@@ -236,8 +214,8 @@ class EGPD3(MultiFamily):
 
     def nll(self, y, psi, xi, ld):
         n, s = _gpd(y, psi, xi)
-        d = np.exp(ld)
-        return n + ld - np.log(-np.expm1(d * s)) - np.log1p(d)
+        d = exp(ld)
+        return n + ld - log(-expm1(d * s)) - log1p(d)
 
     def start(self, mean, sd, lo):
         return [math.log(mean), 0.1, 0.0]
@@ -250,10 +228,10 @@ class EGPD4(MultiFamily):
 
     def nll(self, y, psi, xi, ld, lk):
         n, s = _gpd(y, psi, xi)
-        d, k = np.exp(ld), np.exp(lk)
+        d, k = exp(ld), exp(lk)
         # distribution of the third extension, from the survival S of the generalised Pareto
-        g3 = 1 - (1 + d) / d * np.exp(s) + np.exp((1 + d) * s) / d
-        return (1 - k / 2) * np.log(np.maximum(g3, 1e-300)) + n + math.log(2) + ld - lk - np.log(-np.expm1(d * s)) - np.log1p(d)
+        g3 = exp(s) * expm1(d * s) / d - expm1(s)
+        return (1 - k / 2) * log(g3) + n + math.log(2) + ld - lk - log(-expm1(d * s)) - log1p(d)
 
     def start(self, mean, sd, lo):
         return [math.log(mean), 0.1, 0.0, math.log(2)]
@@ -298,9 +276,9 @@ class ELFLSS(MultiFamily):
     def nll(self, y, mu, sigma):
         t, z = self.qu, y - mu
         lam = self.co / sigma  # the bandwidth relative to the scale
-        lam = np.maximum(lam, 1e-3)
-        norm = lgamma(lam * (1 - t)) + lgamma(lam * t) - lgamma(lam) + np.log(lam * sigma)
-        return -(1 - t) * z / sigma + lam * log1pexp(z / (lam * sigma)) + norm
+        lam = where(value(lam) > 1e-3, lam, 1e-3)
+        norm = log_gamma(lam * (1 - t)) + log_gamma(lam * t) - log_gamma(lam) + log(lam * sigma)
+        return -(1 - t) * z / sigma + lam * softplus(z / (lam * sigma)) + norm
 
     def start(self, mean, sd, lo):
         return [mean + sd * float(normal_ppf(self.qu)), math.log(max(sd / 2, 1e-6))]
