@@ -371,6 +371,21 @@ def general_binomial(spark, sf_dir):
     return _with_likelihood(spark, gam("y ~ x", t, "binomial", optimizer="general", control=GamControl(local_rows=0)))
 
 
+@query("SELECT CAST(count(*) AS DOUBLE) AS n, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem")
+def stream_ols(spark, sf_dir):
+    """A regression whose rows arrive as a stream, its sums kept in a table."""
+    from smoothlake.sources.shared import shared_folder
+    from smoothlake.streaming.accumulate import StreamingGam
+
+    path, folder = f"{sf_dir}/lineitem.parquet", shared_folder(spark, "stream")
+    li = spark.read.parquet(path)
+    model = StreamingGam("l_extendedprice ~ l_quantity", li, state=f"{folder}/state")
+    stream = spark.readStream.schema(li.schema).parquet(path[:-1] + "[t]")  # a pattern: the table may be one file
+    model.attach(stream, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    b = model.solve()["beta"]
+    return spark.createDataFrame([(float(model.n), round(float(b[0]), 4), round(float(b[1]), 4))], "n double, intercept double, slope double")
+
+
 def _with_likelihood(spark, m):
     row = (m.family.name, round(float(m.beta[0]), 5), round(float(m.beta[1]), 5), round(m.loglikelihood(), 3))
     m.close()
