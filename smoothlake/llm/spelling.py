@@ -7,10 +7,9 @@ compressed) tries and writes them to the shared folder; that is how a shard is b
 needs it reads it there, so nothing passes through the driver, and a task holds a bounded number of shards
 and of words whatever the vocabulary's size.
 
-Searching: a task takes a bounded run of words and goes through the shards. A word's distance-one Levenshtein
-automaton (whether it is at its position without an edit, and which of three positions with one) first reads
-the shard's common prefix and leaves the shard alone if it dies there; else it walks the trie depth-first,
-entering only branches on which it is alive. Words at which it accepts with exactly one edit are the near words: the task counts them
+Searching: a task takes a bounded run of words and goes through the shards. The words' distance-one Levenshtein
+automata (their states: positions reached without an edit and with one) walk a shard's trie depth-first, a block
+of states at a time in arrays, entering only branches on which they are alive. Words at which it accepts with exactly one edit are the near words: the task counts them
 and keeps the most frequent, so a word gives one row however many near words it has.
 
 Roots: a form is at least ``ratio`` times as frequent as its word, so chains of forms cannot turn back and are
@@ -28,6 +27,7 @@ import zlib
 from collections import Counter, OrderedDict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ class SpellingOptions:
     every: int = 31
     shard_words: int = 1 << 15
     shard_chars: int = 1 << 22
-    run_words: int = 1 << 13
+    run_words: int = 1 << 15
     run_chars: int = 1 << 21
     held_shards: int = 4
 
@@ -104,66 +104,115 @@ def word_counts(documents: DataFrame, options: SpellingOptions = SpellingOptions
 
 
 class Trie:
-    """A compact trie. Node 0 is the root; a node has the text of the edge that leads to it, its children by
-    first character, the count of the word that ends there (0: none) and that word."""
-
-    def __init__(self, labels: list[str], parents: list[int], counts: list[int]):
-        self.labels, self.counts = labels, counts
-        self.kids: list[dict[str, int]] = [{} for _ in labels]
-        self.words = [""] * len(labels)
-        for i in range(1, len(labels)):  # parents stand before their children
-            self.kids[parents[i]][labels[i][0]] = i
-            self.words[i] = self.words[parents[i]] + labels[i]
-
-    def near(self, word: str):
-        """Depth-first: (near word, its count) for every word of the trie at distance exactly one."""
-        size = len(word)
-        labels, kids, counts = self.labels, self.kids, self.counts
-        stack = [(0, 0, True, 4 if size else 0)]
-        while stack:
-            node, d, exact, edited = stack.pop()
-            if counts[node] and -1 <= size - d <= 1 and edited >> (size - d + 1) & 1 and not (exact and d == size):
-                yield self.words[node], counts[node]
-            if exact:
-                for kid in kids[node].values():
-                    a, b = read(word, d, True, edited, labels[kid])
-                    if a or b:
-                        stack.append((kid, d + len(labels[kid]), a, b))
-            else:  # the edit is made: what follows must be the rest of the word
-                own, ahead = kids[node], {}
-                for k in range(3):
-                    i = d - 1 + k
-                    if edited >> k & 1 and i < size:
-                        kid = own.get(word[i])
-                        if kid is not None and word.startswith(labels[kid], i):
-                            ahead[kid] = ahead.get(kid, 0) | 1 << k
-                stack.extend((kid, d + len(labels[kid]), False, b) for kid, b in ahead.items())
-
-
-def read(word: str, d: int, exact: bool, edited: int, text: str) -> tuple[bool, int]:
-    """The state of the word's automaton after it read ``text`` at depth ``d``. After d characters only the
-    word's positions d-1, d and d+1 can be reached with one edit: bits 0 to 2 of ``edited``; ``exact``: position d
-    is reached without any."""
-    size = len(word)
-    for c in text:
-        hit = d < size and word[d] == c
-        after = (edited & 2) if hit else 0
-        if edited & 1 and d <= size and word[d - 1] == c:
-            after |= 1
-        if edited & 4 and d + 1 < size and word[d + 1] == c:
-            after |= 4
-        if exact:  # insertion, replacement, and deletion behind the character read
-            after |= 1 | (2 if d < size else 0) | (4 if hit and d + 1 < size else 0)
-        exact, edited = exact and hit, after
-        d += 1
-        if not exact and not edited:
-            break
-    return exact, edited
-
-
-def alive(prefix: str, word: str) -> bool:
-    """Whether the word's automaton is alive after the prefix."""
-    return any(read(word, 0, True, 4 if word else 0, prefix))
+    """A compact trie in arrays, nodes in breadth-first order: node 0 is the root, a node's children stand together,
+    sorted by their first characters. Node k has the edge text ``chars[at[k]:at[k + 1]]`` and the count of the
+    word that ends there (0: none). Characters are Latin-1 codes."""
+
+    def __init__(self, chars: np.ndarray, at: np.ndarray, parents: np.ndarray, counts: np.ndarray):
+        self.chars, self.at, self.parents, self.counts = np.append(chars, np.uint8(0)), at.astype(np.int64), parents, counts
+        self.size = np.diff(self.at)
+        self.kids = np.searchsorted(parents[1:], np.arange(len(parents) + 1)) + 1  # of node k: kids[k] to kids[k + 1]
+        self.first = self.chars[self.at[:-1]]
+        self.keys = parents[1:].astype(np.int64) * 256 + self.first[1:]
+        depth = np.zeros(len(parents), np.int64)
+        lo, hi = 0, 1
+        while lo < hi:  # level by level
+            nlo, nhi = int(self.kids[lo]), int(self.kids[hi])
+            depth[nlo:nhi] = depth[parents[nlo:nhi]] + self.size[nlo:nhi]
+            lo, hi = nlo, nhi
+        self.depth = depth
+
+    @classmethod
+    def of(cls, words: list[str], counts: list[int]) -> Trie:
+        t = build(words, counts)
+        return cls(np.frombuffer(b"".join(t[0]), np.uint8), np.cumsum([0, *map(len, t[0])]), np.array(t[1], np.int32), np.array(t[2], np.int64))
+
+    def word(self, node: int) -> str:
+        parts = []
+        while node > 0:
+            parts.append(self.chars[self.at[node] : self.at[node + 1]].tobytes())
+            node = int(self.parents[node])
+        return b"".join(reversed(parts)).decode("latin-1")
+
+    def child(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the nodes have a child that begins with the character, those children)."""
+        if not len(self.keys):
+            return np.zeros(len(node), bool), node
+        key = node.astype(np.int64) * 256 + char
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[k] == key, k + 1
+
+
+class Run:
+    """Words searched for together: their characters with a zero before and three behind each."""
+
+    def __init__(self, words: list[str]):
+        coded = [w.encode("latin-1") for w in words]
+        self.length = np.array([len(w) for w in coded], np.int64)
+        self.codes = np.frombuffer(b"".join(b"\0" + w + b"\0\0\0" for w in coded), np.uint8)
+        self.base = np.cumsum(np.concatenate(([0], self.length + 4)))[:-1] + 1
+
+    def char(self, word: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self.codes[self.base[word] + i]
+
+
+def near(trie: Trie, run: Run, block: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, node) for each word of the run and each word of the trie at distance exactly one.
+
+    The words' automata walk the trie together, a block of states at a time and depth first. A state without an edit
+    stands at a node and tries all its children; one that has made its edit follows the rest of its word. Deletions
+    and insertions in a run of equal characters are made at its beginning, so no word is accepted twice."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    stack = [(np.arange(len(run.length)), np.zeros(len(run.length), np.int64))]
+    while stack:
+        word, node = stack.pop()
+        if len(word) > block:
+            stack += [(word[lo : lo + block], node[lo : lo + block]) for lo in range(0, len(word), block)]
+            continue
+        d = trie.depth[node]
+        here, before = run.char(word, d), run.char(word, d - 1)
+        cut = (here != 0) & (here != before)  # the word's character left out
+        spent = [(word[cut], node[cut], trie.size[node[cut]], d[cut] + 1)]
+        # every child of every state
+        many = trie.kids[node + 1] - trie.kids[node]
+        each = np.repeat(np.arange(len(word)), many)
+        kid = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + trie.kids[node][each]
+        word, d, here, before, off = word[each], d[each], here[each], before[each], np.zeros(len(each), np.int64)
+        while len(word):
+            c = trie.chars[trie.at[kid] + off]
+            put, other, same = c != before, (c != here) & (here != 0), c == here
+            spent.append((word[put], kid[put], off[put] + 1, d[put]))
+            spent.append((word[other], kid[other], off[other] + 1, d[other] + 1))
+            word, kid, off, d, before = word[same], kid[same], off[same] + 1, d[same] + 1, here[same]
+            over = off == trie.size[kid]
+            if over.any():
+                stack.append((word[over], kid[over]))
+                word, kid, off, d, before = word[~over], kid[~over], off[~over], d[~over], before[~over]
+            here = run.char(word, d)
+            cut = (here != 0) & (here != before)
+            spent.append((word[cut], kid[cut], off[cut], d[cut] + 1))
+        follow(trie, run, *(np.concatenate(x) for x in zip(*spent, strict=True)), found)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([w for w, _ in found]), np.concatenate([n for _, n in found])
+
+
+def follow(trie: Trie, run: Run, word, node, off, i, found) -> None:
+    """States that have made their edit: ``off`` characters of the node's edge are read, ``i`` of the word."""
+    while len(word):
+        over = off == trie.size[node]
+        if over.any():
+            w, k, at = word[over], node[over], i[over]
+            word, node, off, i = word[~over], node[~over], off[~over], i[~over]
+            end = (at == run.length[w]) & (trie.counts[k] > 0)
+            if end.any():
+                found.append((w[end], k[end]))
+            has, kid = trie.child(k, run.char(w, at))
+            word, node, off, i = np.append(word, w[has]), np.append(node, kid[has]), np.append(off, np.ones(has.sum(), np.int64)), np.append(i, at[has] + 1)
+            over = off == trie.size[node]
+        go = over | (trie.chars[trie.at[node] + np.minimum(off, trie.size[node] - 1)] == run.char(word, i))
+        step = (~over).astype(np.int64)
+        word, node, off, i = word[go], node[go], (off + step)[go], (i + step)[go]
 
 
 def _common(a: str, b: str) -> int:
@@ -180,8 +229,8 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def build(words: list[str], counts: list[int]) -> tuple[list[str], list[int], list[int]]:
-    """Edge labels, parents and counts of the compact trie of sorted distinct words, parents first."""
+def build(words: list[str], counts: list[int]) -> tuple[list[bytes], list[int], list[int]]:
+    """Edge texts, parents and counts of the compact trie of sorted distinct words, breadth first."""
     labels, parents, ends, depth = [""], [-1], [0], [0]
     path = [0]  # nodes from the root to the last word
     before = ""
@@ -210,19 +259,25 @@ def build(words: list[str], counts: list[int]) -> tuple[list[str], list[int], li
         else:
             ends[top] = n
         before = w
-    order = sorted(range(len(labels)), key=depth.__getitem__)
-    place = {old: new for new, old in enumerate(order)}
-    return [labels[i] for i in order], [place.get(parents[i], -1) for i in order], [ends[i] for i in order]
+    kids: list[list[int]] = [[] for _ in labels]
+    for i, p in enumerate(parents[1:], 1):
+        kids[p].append(i)
+    order, place = [0], [0] * len(labels)
+    for i in order:  # grows as it is read
+        order += sorted(kids[i], key=labels.__getitem__)
+    for new, old in enumerate(order):
+        place[old] = new
+    return [labels[i].encode("latin-1") for i in order], [-1, *(place[parents[i]] for i in order[1:])], [ends[i] for i in order]
 
 
-_NODES = pa.schema([("label", pa.string()), ("parent", pa.int32()), ("n", pa.int64())])
+_NODES = pa.schema([("label", pa.binary()), ("parent", pa.int32()), ("n", pa.int64())])
 
 
 def write_shards(words: DataFrame, options: SpellingOptions = SpellingOptions()) -> DataFrame:
-    """Cuts words into trie shards: (file, prefix, words) for each, ``prefix`` being what all its words begin with."""
+    """Cuts words into trie shards: (file, first, words) for each, ``first`` being its smallest word."""
     spark = words.sparkSession
     folder = shared_dir(spark, "tries")
-    schema = pa.schema([("file", pa.string()), ("prefix", pa.string()), ("words", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("first", pa.string()), ("words", pa.int64())])
 
     def write(batches):
         import uuid
@@ -237,7 +292,7 @@ def write_shards(words: DataFrame, options: SpellingOptions = SpellingOptions())
             columns = build(own, counts)
             with fs.open_output_stream(name) as sink, pa.ipc.new_file(sink, _NODES) as f:
                 f.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _NODES.types, strict=True)], schema=_NODES))
-            return pa.RecordBatch.from_pydict({"file": [name], "prefix": [own[0][: _common(own[0], own[-1])]], "words": [len(own)]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"file": [name], "first": [own[0]], "words": [len(own)]}, schema=schema)
 
         chars = 0
         for b in batches:
@@ -253,31 +308,30 @@ def write_shards(words: DataFrame, options: SpellingOptions = SpellingOptions())
 
     parts = max(1, -(-words.count() // (2 * options.shard_words)))
     ordered = words.select("word", "n").repartitionByRange(parts, "word").sortWithinPartitions("word")
-    return staged(ordered.mapInArrow(write, "file string, prefix string, words long"), "shards")
+    return staged(ordered.mapInArrow(write, "file string, first string, words long"), "shards")
 
 
 class Shards:
     """The shards of a vocabulary as a task sees them: a directory, and the few tries that were read last."""
 
     def __init__(self, folder: str, held: int):
-        from pyarrow import fs
-        from pyarrow import parquet
+        from pyarrow import fs, parquet
 
         self.fs, path = file_system(folder)
         files = [f.path for f in self.fs.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
         rows = [r for f in sorted(files) for r in parquet.read_table(self.fs.open_input_file(f)).to_pylist()]
-        self.directory = [(r["file"], r["prefix"]) for r in sorted(rows, key=lambda r: (r["prefix"], r["file"]))]
+        self.directory = [r["file"] for r in sorted(rows, key=lambda r: r["first"])]
         self.held: OrderedDict[str, Trie] = OrderedDict()
         self.most = held
         self.back = False
 
     def each(self):
-        """(prefix, function that gives the trie) of all shards; there and back in turn, so that the tries held
-        from one run of words are the first that the next one needs."""
-        order = self.directory[::-1] if self.back else self.directory
+        """(place in the order of words, trie) of all shards; there and back in turn, so that the tries held from one
+        run of words are the first that the next one needs."""
+        order = list(enumerate(self.directory))
+        for k, file in reversed(order) if self.back else order:
+            yield k, self.trie(file)
         self.back = not self.back
-        for file, prefix in order:
-            yield prefix, lambda f=file: self.trie(f)
 
     def trie(self, file: str) -> Trie:
         if file in self.held:
@@ -286,8 +340,11 @@ class Shards:
         while len(self.held) >= self.most:
             self.held.popitem(last=False)
         with self.fs.open_input_file(file) as source:
-            t = pa.ipc.open_file(source).read_all()
-        self.held[file] = Trie(*(t.column(c).to_pylist() for c in ("label", "parent", "n")))
+            t = pa.ipc.open_file(source).read_all().combine_chunks()
+        labels = t.column("label").chunk(0)
+        offsets = np.frombuffer(labels.buffers()[1], np.int32, len(labels) + 1, labels.offset * 4)
+        chars = np.frombuffer(labels.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.held[file] = Trie(chars, offsets - offsets[0], t.column("parent").to_numpy(), t.column("n").to_numpy())
         return self.held[file]
 
 
@@ -300,32 +357,42 @@ def near_words(words: DataFrame, shards: str, options: SpellingOptions = Spellin
     def search(batches):
         all_shards = Shards(shards, options.held_shards)
 
-        def found(own):
-            near, best = [0] * len(own), [None] * len(own)
-            for prefix, trie in all_shards.each():
-                t = None
-                for i, (w, _) in enumerate(own):
-                    if prefix and not alive(prefix, w):
-                        continue
-                    t = t or trie()
-                    for x, n in t.near(w):
-                        near[i] += 1
-                        if best[i] is None or (-n, x) < best[i]:
-                            best[i] = (-n, x)
-            columns = {"word": [w for w, _ in own], "n": [n for _, n in own], "n_near": near, "best": [b and b[1] for b in best], "best_n": [b and -b[0] for b in best]}
+        def found(own, n):
+            run = Run(own)
+            many, top, place = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            best: list[str | None] = [None] * len(own)
+            for k, trie in all_shards.each():
+                word, node = near(trie, run)
+                if not len(word):
+                    continue
+                many += np.bincount(word, minlength=len(own))
+                order = np.lexsort((-trie.counts[node], word))
+                word, node = word[order], node[order]
+                count = trie.counts[node]
+                lead = np.concatenate(([True], word[1:] != word[:-1]))
+                most = np.repeat(count[lead], np.diff(np.append(np.flatnonzero(lead), len(word))))
+                # the shard's most frequent near words that are not behind what other shards have
+                wins = (count == most) & ((count > top[word]) | ((count == top[word]) & (k <= place[word])))
+                for w, x, c in zip(word[wins].tolist(), node[wins].tolist(), count[wins].tolist(), strict=True):
+                    text = trie.word(x)
+                    if c > top[w] or k < place[w] or text < best[w]:
+                        best[w], top[w], place[w] = text, c, k
+            columns = {"word": own, "n": n, "n_near": many, "best": best, "best_n": [int(t) if b is not None else None for t, b in zip(top, best, strict=True)]}
             return pa.RecordBatch.from_pydict(columns, schema=schema)
 
-        own: list[tuple[str, int]] = []
+        own: list[str] = []
+        counts: list[int] = []
         chars = 0
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if own and (len(own) >= options.run_words or chars + len(w) > options.run_chars):
-                    yield found(own)
-                    own, chars = [], 0
-                own.append((w, n))
+                    yield found(own, counts)
+                    own, counts, chars = [], [], 0
+                own.append(w)
+                counts.append(n)
                 chars += len(w)
         if own:
-            yield found(own)
+            yield found(own, counts)
 
     parts = max(1, -(-words.count() // options.run_words))
     runs = words.select("word", "n").repartitionByRange(parts, "word").sortWithinPartitions("word")

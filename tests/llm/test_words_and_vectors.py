@@ -1,6 +1,5 @@
 """Spelling variants, whitening and the quality classifier against brute force, with their edge cases."""
 
-import itertools
 import random
 import zlib
 from collections import Counter
@@ -77,12 +76,14 @@ def test_tries_hold_their_words_and_find_neighbours():
     rng = random.Random(2)
     for _ in range(60):
         words = sorted({"".join(rng.choice("abß") for _ in range(rng.randint(1, 7))) for _ in range(50)})
-        trie = spelling.Trie(*spelling.build(words, list(range(1, len(words) + 1))))
-        assert sorted((w, n) for w, n in zip(trie.words, trie.counts, strict=True) if n) == [(w, i + 1) for i, w in enumerate(words)]
-        for w in [*words, "abab", "ßßßßß"]:
-            assert sorted(x for x, _ in trie.near(w)) == [x for x in words if one_edit(x, w)]
-        for prefix, w in itertools.product(("", "a", "ab", "ßab"), words):
-            assert spelling.alive(prefix, w) >= any(x.startswith(prefix) for x in words if one_edit(x, w))
+        trie = spelling.Trie.of(words, list(range(1, len(words) + 1)))
+        ends = np.flatnonzero(trie.counts)
+        assert sorted((trie.word(k), int(trie.counts[k])) for k in ends) == [(w, i + 1) for i, w in enumerate(words)]
+        own = [*words, "abab", "ßßßßß", "b"]
+        for block in (7, 4096):
+            at, node = spelling.near(trie, spelling.Run(own), block)
+            got = sorted((own[i], trie.word(k)) for i, k in zip(at.tolist(), node.tolist(), strict=True))
+            assert got == sorted((w, x) for w in own for x in words if one_edit(x, w))
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, x int, component string"
@@ -209,3 +210,47 @@ def test_blocks_reach_the_optimum_of_one_solver(spark):
         blocks = quality._blocks(texts, int(by_fold.sum()), quality.QualityOptions(bits=10, block_texts=size))
         problems, gaps = quality.descend(blocks, ratios, o)
         assert max(gaps) <= 0.01 and -1e-9 <= value(problems[-1].weights) / value(w) - 1 <= 0.01
+
+
+def brute_neighbours(rows, is_query, k=5):
+    """Per query row (id and vector): its neighbours by the computed cosine, ties by id."""
+    ids = np.array([i for i, _ in rows])
+    v = np.array([list(map(float, x)) for _, x in rows])
+    norms = np.sqrt(np.einsum("ij,ij->i", v, v))
+    out = []
+    for i, x in {(i, tuple(x)) for i, x in rows if is_query(i)}:
+        q = np.array(x, float)
+        score = np.einsum("ij,ij->i", v, np.broadcast_to(q, v.shape)) / (norms * np.sqrt(np.einsum("ij,ij->i", q[None], q[None])))
+        near = sorted((-s, j) for s, j in zip(score.tolist(), ids.tolist(), strict=True) if j != i)[:k]
+        out += [(i, rank, j, -s) for rank, (s, j) in enumerate(near, 1)]
+    return sorted(out)
+
+
+def test_near_parallel_vectors_come_in_the_order_of_their_scores(spark):
+    """Copies whose components differ in the last bit: distances cannot tell them apart, computed cosines can."""
+    from smoothlake.llm import vp_search
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for base in rng.normal(size=(3, 64)).astype(np.float32):
+        for _ in range(400):
+            x = base.copy()
+            for at in rng.integers(0, 64, rng.integers(1, 6)):
+                x[at] = np.nextafter(x[at], np.float32(9), dtype=np.float32)
+            rows.append((len(rows), x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    for o in (vp_search.SearchOptions(leaf=16), vp_search.SearchOptions(shard=300, leaf=32, block=5)):
+        got = vp_search.search(df, df.vec_id % 10 == 0, o).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_neighbours(rows, lambda i: i % 10 == 0)
+
+
+def test_rows_with_one_query_id_are_ranked_each_for_itself(spark):
+    from smoothlake.llm import vp_search
+
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    rows += [(0, rng.normal(size=8).tolist()), rows[0], rows[10], (20, rng.normal(size=8).tolist())]
+    other = [(70, [1.0, 2.0]), (71, [1.0] * 9), (72, [])]
+    df = spark.createDataFrame(rows + other, "vec_id long, embedding array<double>")
+    got = vp_search.search(df, df.vec_id % 10 == 0, vp_search.SearchOptions(leaf=4)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_neighbours(rows, lambda i: i % 10 == 0)
