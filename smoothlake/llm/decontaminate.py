@@ -13,10 +13,13 @@ the heaviest words might stay under the threshold is looked up directly: each wi
 its words stand is a candidate.
 
 A benchmark of any size is searched in lots of items, each with a basis of its own from the one sketch of the
-passages; lots are files of the shared folder, of which a worker holds a few.
+passages. Tasks build the lots and write them to the shared folder. A worker holds a run of texts of bounded size and
+takes the lots one after the other, so each lot is read once for a run; it keeps a few, and goes through them there
+and back in turn.
 
 Edge cases: null or wordless texts and items match nothing; very long texts are searched whole, in one task; ties
-and repeated rows are reported row by row; empty tables give empty results; extra columns pass through where
+and repeated documents are reported row by row; items with one item_id (or without any) are one item with several
+texts, of which the best match counts; empty tables give empty results; extra columns pass through where
 documents are returned.
 """
 
@@ -25,7 +28,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,8 @@ class DecontaminationOptions:
     part: words whose sketch a task of the fit hands on at once.
     windows: lengths in words, multiples of 16, each moved by half its length. cosine: least latent cosine of a candidate.
     verbatim: least share of the item's words in order for a match without an answer check. paraphrase:
-    least share with one. answer: least share of the answer's words in order. items_per_pass: items of a lot.
-    held: lots that a worker keeps at once."""
+    least share with one. answer: least share of the answer's words in order. items_per_pass: items of a lot
+    (in expectation). held: lots that a worker keeps at once. run: characters of the texts that it searches together."""
 
     columns: int = 8192
     rank: int = 192
@@ -65,6 +67,7 @@ class DecontaminationOptions:
     answer: float = 0.7
     items_per_pass: int = 224
     held: int = 4
+    run: int = 1 << 24
 
 
 @dataclass
@@ -336,26 +339,41 @@ class Searcher:
 
 
 def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptions) -> list[str]:
-    """Paths of the lots: files of at most ``items_per_pass`` items' texts with their projected terms."""
+    """Paths of the lots: files of about ``items_per_pass`` items' texts with their projected terms."""
+    import pandas as pd
+
     spark = documents.sparkSession
     tune(spark)
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text").toLocalIterator()
-    hashes, sketched, paths = WordHashes(), None, []
-    found = ((i, t, x) for i, t in rows if (x := item_of(i, t, hashes)))
+    items = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct(), "items")
+    n = items.count()
+    if not n:
+        return []
+    passages = passages_of(documents, o)
+    counts = term_counts(passages, o.columns)
+    idf = inverse_frequencies(counts, o)
+    fit = spark.sparkContext.broadcast((idf, *sketch(passages, counts, o)))  # a few arrays of ``columns`` numbers
     folder = shared_dir(spark, "lots")
-    fs, place = file_system(folder)
-    while lot := list(islice(found, o.items_per_pass)):
-        if sketched is None:
-            passages = passages_of(documents, o)
-            counts = term_counts(passages, o.columns)
-            idf, sketched = inverse_frequencies(counts, o), sketch(passages, counts, o)
-            fs.create_dir(place, recursive=True)
-        terms = latent_basis([x for *_, x in lot], idf, *sketched, o)
+
+    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        import uuid
+
+        rows = [(None if pd.isna(i) else int(i), t) for i, t in zip(part["item_id"].astype(object), part["text"], strict=True)]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        hashes = WordHashes()
+        lot = [(i, t, x) for i, t in rows if (x := item_of(i, t, hashes))]
+        if not lot:
+            return pd.DataFrame({"lot": [], "path": []})
+        terms = latent_basis([x for *_, x in lot], *fit.value, o)
         texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in lot]
-        paths.append(f"{folder}/{len(paths):06d}.npz")
-        with fs.open_output_stream(f"{place}/{len(paths) - 1:06d}.npz") as f:
+        fs, place = file_system(folder)
+        fs.create_dir(place, recursive=True)
+        name = f"{uuid.uuid4().hex}.npz"  # of this attempt alone
+        with fs.open_output_stream(f"{place}/{name}") as f:
             np.savez(f, terms=terms, ids=np.array([i if i is not None else 0 for i, *_ in lot]), known=np.array([i is not None for i, *_ in lot]), sizes=np.array([len(t) for t in texts]), texts=np.frombuffer(b"".join(texts), np.uint8))
-    return paths
+        return pd.DataFrame({"lot": [key[0]], "path": [f"{folder}/{name}"]})
+
+    dealt = items.withColumn("lot", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // o.items_per_pass))))
+    return [r.path for r in sorted(dealt.groupBy("lot").applyInPandas(build, "lot long, path string").collect())]
 
 
 def _searcher(path: str, hashes: WordHashes, o: DecontaminationOptions) -> Searcher:
@@ -371,10 +389,10 @@ def _searcher(path: str, hashes: WordHashes, o: DecontaminationOptions) -> Searc
 
 
 class Search:
-    """Searches batches of texts lot by lot, holding a few lots at a time."""
+    """Searches runs of texts lot by lot, holding a few lots at a time."""
 
     def __init__(self, paths: list[str], o: DecontaminationOptions):
-        self.paths, self.o, self.hashes, self.known = paths, o, WordHashes(), {}
+        self.paths, self.o, self.hashes, self.known = list(paths), o, WordHashes(), {}
 
     def _lot(self, path: str) -> Searcher:
         if path not in self.known:
@@ -384,14 +402,32 @@ class Search:
         return self.known[path]
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, float, bool]]]:
-        found: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
+        """(item_id, share, answer) of the items found in each text, each item once."""
+        found: list[dict] = [{} for _ in texts]
         texts = [t or "" for t in texts]
+        parts = [(lo, hi, *self.hashes(texts[lo:hi])) for lo, hi in lots(texts)]
         for path in self.paths:
             s = self._lot(path)
-            for lo, hi in lots(texts):
-                for to, hits in zip(found[lo:hi], s.search(*self.hashes(texts[lo:hi])), strict=True):
-                    to += hits
-        return found
+            for lo, hi, h, begins in parts:
+                for to, hits in zip(found[lo:hi], s.search(h, begins), strict=True):
+                    for item, *match in hits:
+                        to[item] = max(to.get(item, match), match)
+        self.paths.reverse()  # the lots held now are the first of the next run
+        return [[(item, *match) for item, match in to.items()] for to in found]
+
+    def runs(self, batches, column: str):
+        """(batches, what was found in each of their texts) for runs of batches with about ``run`` characters."""
+        held, texts, size = [], [], 0
+        for b in batches:
+            held.append(b)
+            own = b.column(column).to_pylist()
+            texts += own
+            size += sum(len(t) for t in own if t)
+            if size >= self.o.run:
+                yield held, self(texts)
+                held, texts, size = [], [], 0
+        if held:
+            yield held, self(texts)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
@@ -401,10 +437,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, options: Decontamin
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("answer", pa.bool_())])
 
     def run(batches):
-        search = Search(paths, options)
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            rows = [(ids[i], *x) for i, hits in enumerate(search(texts)) for x in hits]
+        for held, found in Search(paths, options).runs(batches, "text"):
+            ids = [i for b in held for i in b.column("doc_id").to_pylist()]
+            rows = [(ids[i], *x) for i, hits in enumerate(found) for x in hits]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
@@ -420,8 +455,10 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, options: Decontaminat
         return documents
 
     def run(batches):
-        search = Search(paths, options)
-        for b in batches:
-            yield b.filter(pa.array([not hits for hits in search(b.column("text").to_pylist())], pa.bool_()))
+        for held, found in Search(paths, options).runs(batches, "text"):
+            at = 0
+            for b in held:
+                yield b.filter(pa.array([not hits for hits in found[at : at + b.num_rows]], pa.bool_()))
+                at += b.num_rows
 
     return documents.mapInArrow(run, documents.schema)
