@@ -362,7 +362,7 @@ def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptio
         hashes = WordHashes()
         lot = [(i, t, x) for i, t in rows if (x := item_of(i, t, hashes))]
         if not lot:
-            return pd.DataFrame({"lot": [], "path": []})
+            return pd.DataFrame({"lot": [key[0]], "path": [""]})
         terms = latent_basis([x for *_, x in lot], *fit.value, o)
         texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in lot]
         fs, place = file_system(folder)
@@ -373,7 +373,7 @@ def _prepare(documents: DataFrame, benchmark: DataFrame, o: DecontaminationOptio
         return pd.DataFrame({"lot": [key[0]], "path": [f"{folder}/{name}"]})
 
     dealt = items.withColumn("lot", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // o.items_per_pass))))
-    return [r.path for r in sorted(dealt.groupBy("lot").applyInPandas(build, "lot long, path string").collect())]
+    return [r.path for r in sorted(dealt.groupBy("lot").applyInPandas(build, "lot long, path string").collect()) if r.path]
 
 
 def _searcher(path: str, hashes: WordHashes, o: DecontaminationOptions) -> Searcher:

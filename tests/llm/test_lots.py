@@ -65,8 +65,8 @@ def test_paraphrases_are_found(tables):
 @pytest.mark.parametrize("items_per_pass,run", [(7, 2000), (60, 1 << 24), (1, 9000)])
 def test_lots_and_runs_do_not_change_what_is_found(tables, items_per_pass, run):
     _, _, df, bench = tables
-    o = decontaminate.DecontaminationOptions(items_per_pass=items_per_pass, run=run, held=3)
-    all_ = rows(decontaminate.contaminated(df, bench))
+    o = decontaminate.DecontaminationOptions(items_per_pass=items_per_pass, run=run, held=3, columns=2048, rank=64)
+    all_ = rows(decontaminate.contaminated(df, bench, decontaminate.DecontaminationOptions(columns=2048, rank=64)))
     got = rows(decontaminate.contaminated(df, bench, o))
     assert {r[:2] for r in got} >= {r[:2] for r in all_ if r[2] == 1.0}
     assert len({r[:2] for r in got} ^ {r[:2] for r in all_}) <= 0.05 * len(all_)  # a lot's basis is its own
@@ -80,7 +80,7 @@ def test_items_with_one_id_are_reported_once(spark, tables):
     text = items[0][1]
     several = [(5, text), (5, "other words that are nowhere at all"), (5, text.split(". ")[0]), (None, text), (None, text + " more"), (6, None), (7, "..."), (5, text)]
     bench = spark.createDataFrame(several, "item_id long, text string")
-    for o in (decontaminate.DecontaminationOptions(), decontaminate.DecontaminationOptions(items_per_pass=1)):
+    for o in (decontaminate.DecontaminationOptions(), decontaminate.DecontaminationOptions(items_per_pass=1, columns=1024)):
         got = [tuple(r) for r in decontaminate.contaminated(df.where("doc_id = 0"), bench, o).collect()]
         assert sorted(((i or 0), s) for _, i, s, _ in got) == [(0, 1.0), (5, 1.0)]
     nothing = spark.createDataFrame([(1, None), (2, " . ")], "item_id long, text string")
