@@ -45,15 +45,15 @@ class QualityOptions:
     """ids_per_class, block_texts: bounds of the sample and of a block. bits: buckets are 2 to this power.
     shape: longest n-gram of the shape. rounds, epochs: at most, and passes over a block in one."""
 
-    ids_per_class: int = 10_000
-    block_texts: int = 8192
+    ids_per_class: int = 5000
+    block_texts: int = 16_384
     bits: int = 17
     shape: int = 4
     smoothing: float = 1.0
     cost: float = 1.0
-    gap: float = 0.005
-    rounds: int = 60
-    epochs: int = 12
+    gap: float = 0.02
+    rounds: int = 40
+    epochs: int = 8
     folds: int = 3
 
 
