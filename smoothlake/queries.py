@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -454,6 +455,28 @@ def gamm_many_levels(spark, sf_dir):
     return gamm_large("l_extendedprice ~ s(l_quantity, k=5, bs='cr') + (1 | l_suppkey)", li).ranef()
 
 
+@query("""WITH c AS (SELECT l_linenumber AS a, month(l_shipdate) AS b, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2), m AS (SELECT avg(y) AS m FROM c),
+e AS (SELECT 'line' AS term, CAST(a AS VARCHAR) AS level, (avg(y) - any_value(m)) * count(*) / (count(*) + 3.0) AS effect FROM c, m GROUP BY a
+UNION ALL SELECT 'month', CAST(b AS VARCHAR), (avg(y) - any_value(m)) * count(*) / (count(*) + 5.0) FROM c, m GROUP BY b)
+SELECT term, level, round(effect, 4) AS effect FROM e""")
+def gamm_crossed_balanced(spark, sf_dir):
+    """Crossed effects of line and month on cell means at given variances: a balanced table, whose effects are shrunk means."""
+    from smoothlake.operators.gamm_crossed import CrossedControl, gamm_crossed
+
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), F.month("l_shipdate").alias("month"), "l_extendedprice")
+    m = gamm_crossed("y ~ 1 + (1 | line) + (1 | month)", li.groupBy("line", "month").agg(F.avg("l_extendedprice").alias("y")), ratios=[3.0, 5.0], control=CrossedControl(tolerance=1e-12, local_rows=0))
+    return reduce(DataFrame.unionByName, [m.ranef(t).select(F.lit(t).alias("term"), "level", F.round("effect", 4).alias("effect")) for t in ("line", "month")])
+
+
+@query()
+def gamm_crossed_parts(spark, sf_dir):
+    """Variances of suppliers and parts, many levels of each, estimated."""
+    from smoothlake.operators.gamm_crossed import gamm_crossed
+
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("price"), "l_quantity", "l_suppkey", "l_partkey")
+    return gamm_crossed("price ~ l_quantity + (1 | l_partkey) + (1 | l_suppkey)", li).varcorr()
+
+
 @query()
 def qgam_prices(spark, sf_dir):
     c = _counts(spark, sf_dir)
