@@ -51,7 +51,7 @@ TEMPLATES = {
 _GNU = "<<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version"
 _CC = "<<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>terms of the<<endOptional>> creative commons attribution"
 
-#: The notices as the licenses print them, scanned beside TEMPLATES. The SQL does not write them.
+#: The notices as the licenses print them, scanned beside TEMPLATES.
 NOTICES = {
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
@@ -80,6 +80,11 @@ NOTICES = {
     },
 }
 
+
+def all_templates() -> dict[str, list[str]]:
+    return {label: [*TEMPLATES.get(label, []), *NOTICES.get(label, [])] for label in {**TEMPLATES, **NOTICES}}
+
+
 MARKUP = re.compile(r"<<(beginOptional|endOptional|var)(?:;max=(\d+))?>>")
 
 
@@ -217,7 +222,7 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None, ph
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document.
     score: 1 where a template is accepted, one half for phrases alone, else 0."""
     tune(documents.sparkSession)
-    templates = templates or {label: [*TEMPLATES.get(label, []), *NOTICES.get(label, [])] for label in {**TEMPLATES, **NOTICES}}
+    templates = templates or all_templates()
     phrases = phrases or PHRASES
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
@@ -257,7 +262,7 @@ def oracle() -> str:
         f"CASE WHEN contains(j, '{x}') THEN {blanks.format(f"substr(j, 1, length(j) - strpos(reverse(j), '{x[::-1]}') - {len(x) - 1})")} END" for x in wide.values()
     )
     base = ", ".join(f"CASE WHEN contains(j, '{wide[p]}') THEN '{label}' END" for p, label in PHRASES.items())
-    method = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(j, '{template_pattern(t)}')" for t in several) + f" THEN '{label}' END" for label, several in TEMPLATES.items())
+    method = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(j, '{template_pattern(t)}')" for t in several) + f" THEN '{label}' END" for label, several in all_templates().items())
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 j AS (SELECT doc_id, len(ws) AS n_words, CASE WHEN len(ws) > 0 THEN ' ' || array_to_string(ws, '  ') || ' ' ELSE '' END AS j FROM w),
