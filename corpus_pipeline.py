@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns
 of documents. Each stage's rows are written as Parquet and read again as the next one's documents.
+
+Edge cases: language_id drops null texts and texts without a letter, so the later stages see texts with letters only;
+rows with null ids pass; very long texts are judged whole in every stage. near_dedup keeps one row of equal rows and of
+equal ids with near texts, the smallest by id, then by all columns. decontamination keeps every document where the
+benchmark is empty or null. packing cuts only documents that are longer than a sequence. An empty table, or one of nulls
+alone, gives an empty result. Extra columns pass through every stage but the last.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ The models of all languages share one sorted array of n-gram hashes per order, w
 language for the discounted probability and for the interpolation weight.
 
 Edge cases: a null text, or a text without a letter, gives ``und`` with score 0 and is rejected.
-Rows with null ids are judged like any other. An empty table gives an empty table; without any
-labelled row every text gives ``und``. Extra columns pass through untouched where documents are returned.
+Rows with null ids are judged like any other, repeated rows each by itself; equal cross-entropies go to the language
+first in the alphabet; very long texts are read whole. An empty table gives an empty table; without any labelled row
+every text gives ``und``. Extra columns are ignored, or pass through untouched where documents are returned.
 """
 
 from __future__ import annotations

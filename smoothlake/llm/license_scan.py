@@ -5,8 +5,9 @@ out, ``<<var;max=n>>`` for a replaceable region of up to n words. It is compiled
 words; it accepts where its mandatory wording stands exactly, word by word. Words are runs of digits, small
 letters (A-Z lower-cased) and characters beyond ASCII.
 
-Edge cases: a null or empty text has no words and no labels; repeated rows are scanned row by row; an empty
-table gives an empty table; extra columns are ignored.
+Edge cases: a null or empty text has no words and no labels; very long texts are scanned whole; places where several
+phrases or templates begin count for each of them; repeated rows are scanned row by row; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ in parallel, only the counts per position reach the driver, which settles the ov
 finds its shard by its position and rank. With capacities that sum to the number of rows (factor 1) the
 shards' row counts differ by one at most; a larger factor moves fewer rows.
 
-Edge cases: null ids share one position (their text's checksum deals them further); repeated rows are
-placed one by one; a null text has size 1 and checksum 0; an empty table gives an empty table.
+Edge cases: a null id is dealt by its text's checksum; repeated rows, which share a position, are placed one by one
+(under the law ``rows`` a third of all rows cannot stay in one shard, so equal texts are not kept together); rows of one
+position with equal checksums are told apart by no property and take its places in any order; very long texts are one
+row like others; a null text has size 1 and checksum 0; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ written to the shared folder, and nothing but the table names reaches the driver
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule and the default verdict;
 null or empty html has no links; a host without links, or without any rank, gets the default verdict;
-repeated rows are judged row by row; an empty table gives an empty table; extra columns are ignored.
+very long urls and pages are read whole; where distrust exactly equals the threshold's share the host is allowed;
+repeated rows are judged row by row, and their links count as often; an empty table gives an empty table; extra
+columns, also of the result's names, are ignored. Rank that reaches a host without links ends there.
 """
 
 from __future__ import annotations

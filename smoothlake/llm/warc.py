@@ -11,7 +11,8 @@ response; the others are revisits that name it.
 
 Edge cases: null or empty html is a response with an empty payload; a null url is written as an empty
 target; rows with equal ids and payloads are all responses; null ids are kept, and are revisited only where
-all ids of the payload are null; empty tables give no archive and an empty result; extra columns are ignored.
+all ids of the payload are null; of rows with the largest id of a payload every one is a response; a payload of any
+length is one record; empty tables give no archive and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -31,3 +31,16 @@ def test_queries_are_registered():
     assert "pipeline" in names
     for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
+
+
+def test_tables_with_nothing_in_them(spark, tmp_path):
+    good = [r for r in corpus() if r[0] is not None and r[0] < 40]
+    nulls = [(i, None, None, None, None, None, None, None) for i in range(5)] + [(None,) * 8]
+    items = [(1, " ".join(f"leaked{i}" for i in range(25)))]
+    cases = {"empty": ([], items), "nulls": (nulls, items), "no_items": (good, []), "null_items": (good, [(1, None), (None, None)])}
+    for name, (rows, bench) in cases.items():
+        d = tmp_path / name
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        packed = corpus_pipeline.run(spark, str(d)).collect()
+        assert (len({r.doc_id for r in packed}) > 20) == (rows is good), name
