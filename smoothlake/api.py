@@ -9,6 +9,7 @@ from smoothlake.operators.bases import (
     Basis, BSpline, ConstrainedSpline, Cubic, FactorSmooth, FractionalPolynomial, GaussianProcess, Loess, OneHot, ShapeSpline, SoapFilm, Spde, Sphere, Tensor, ThinPlate, make,
 )
 from smoothlake.operators.bayes import BayesGamModel, PriorSpec, default_priors, get_prior, ginla, is_loo, loo, pareto_k_diagnostic, pointwise_loglikelihood, psis_loo, waic
+from smoothlake.operators.bayes_hmc import BayesModel, HmcControl, bayes
 from smoothlake.operators.diagnostics import (
     anova_gam, appraise, concurvity, data_slice, derivatives, fitted_samples, gam_check, gamcontour, gamplot, k_check, overview, partial_residuals, posterior_samples, predicted_samples, rootogram, smooth_estimates, smooth_samples, vis_gam,
 )
@@ -16,6 +17,9 @@ from smoothlake.operators.families import Beta, Binomial, Family, Gamma, Inverse
 from smoothlake.operators.gam import BamControl, GamControl, bam, bam_control, gam, gam_control
 from smoothlake.operators.gamlss import GamlssControl, MultiParameterModel, evgam, evgam_control, gamlss, gamlss_control, mp_laml
 from smoothlake.operators.gamm import GammModel, gamm
+from smoothlake.operators.gamm_crossed import CrossedControl, CrossedGammModel, gamm_crossed
+from smoothlake.operators.gamm_large import LargeGammModel, gamm_large
+from smoothlake.operators.general import fit_general
 from smoothlake.operators.knots import discretize_covariates, knot_quantiles, laplacian, place_knots
 from smoothlake.operators.mixed import SmoothMixed, gam_matrices, gam_smooth, s2r_predict, smooth2random
 from smoothlake.operators.model import GamModel

@@ -20,6 +20,8 @@ from smoothlake.plans.design import Design, bind
 from smoothlake.plans.formula import Formula, parse
 from smoothlake.sources.rows import LOCAL, LocalRows, SparkRows, rows_of, validate
 
+#: Bases whose coefficients are exponentials.
+SHAPES = ("mpi", "mpd", "cv", "cx", "micx", "micv", "mdcx", "mdcv")
 WEIGHT, OFFSET, WITHIN, COUNT = "__w", "__offset", "__within", "__rows"
 
 
@@ -151,13 +153,17 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     if optimizer not in ("efs", "general"):
         raise ValueError(f"optimizer is efs or general, not {optimizer}")
     if isinstance(family, MultiFamily):
-        if more.pop("priors", None) is not None or optimizer != "efs" or start is not None:
-            raise ValueError("families with several parameters take no priors, the optimizer efs and no start")
+        if optimizer != "efs" or start is not None:
+            raise ValueError("families with several parameters take the optimizer efs and no start")
+        if (priors := more.pop("priors", None)) is not None:
+            return _bayes(formula, df, family, priors, weights, offset, control, na_action, more)
         return gamlss(formula, df, family, weights=weights, offset=offset, control=control, na_action=na_action, **more)
     if isinstance(formula, (list, tuple)):
         raise ValueError("several formulas need a family with several parameters")
     f = parse(formula)
     fam = family_of(family, link)
+    if more.get("priors") is not None and (f.random or any(s.bs in SHAPES for s in f.smooths)):
+        return _bayes(f, df, fam, more.pop("priors"), weights, offset, control, na_action, more)
     if more.get("priors") is not None:
         from smoothlake.operators.bayes import bayes_gam
 
@@ -195,6 +201,15 @@ def gam(formula: str | Formula, df: DataFrame, family=None, link: str | None = N
     return fit_design(design, rows, narrow, fam, method, control, n, start)
 
 
+def _bayes(formula, df, family, priors, weights, offset, control, na_action, more):
+    from smoothlake.operators.bayes import PriorSpec
+    from smoothlake.operators.bayes_hmc import bayes
+
+    if offset is not None:
+        raise ValueError("these models are sampled without offsets")
+    return bayes(formula, df, family, PriorSpec() if priors is True else priors, weights=weights, na_action=na_action, gam_control=control, **more)
+
+
 def _extra_columns(f: Formula) -> list[str]:
     return [s.xt["y"] for s in f.smooths if s.bs == "fp" and s.xt.get("y")]
 

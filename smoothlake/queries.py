@@ -519,6 +519,13 @@ def bayes_gibbs(spark, sf_dir):
     return gam("l_extendedprice ~ s(l_quantity, k=6, bs='cr')", table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity"), priors=bayes.PriorSpec(b=(0.0, 1e6), sigma=1e6), nsamples=300, nchains=2).coeftable()
 
 
+@query()
+def bayes_location_scale(spark, sf_dir):
+    """Posterior of location and scale of prices by orders, four chains drawn together."""
+    c = _counts(spark, sf_dir).withColumn("price", F.col("price") / 1e5)
+    return gam(["price ~ n", "~ n"], c, multifamilies.GaussianLS(), priors=bayes.PriorSpec(), nsamples=100, warmup=80).coeftable()
+
+
 @query()
 def ginla_marginals(spark, sf_dir):
     return bayes.ginla(bam("l_extendedprice ~ s(l_quantity, k=6, bs='cr')", table(spark, sf_dir, "lineitem")), [0, 1])
