@@ -25,7 +25,7 @@ from smoothlake.operators.mixed import SmoothMixed, gam_matrices, gam_smooth, s2
 from smoothlake.operators.model import GamModel
 from smoothlake.operators.multifamilies import EGPD1, EGPD2, EGPD3, EGPD4, ELF, ELFLSS, GEV, GPD, BetaLS, GammaLS, GaussianLS, InverseGaussianLS, MultiFamily, NegBinLS
 from smoothlake.operators.qgam import QgamModel, check_qgam, cqcheck, mqgam, pinball_loss, qdo, qgam, quantile_residuals
-from smoothlake.operators.scam import has_shape_constraints, scam, scasm
+from smoothlake.operators.scam import ScamControl, has_shape_constraints, scam, scam_control, scasm
 from smoothlake.plans.formula import Formula, RandomSpec, SmoothSpec, parse, s, t2, te, ti
 from smoothlake.streaming.accumulate import StreamingGam
 

@@ -4,14 +4,30 @@ Gaussian fit takes one pass over the rows."""
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 
+from smoothlake.functions.special import expit, log1pexp
 from smoothlake.operators.gam import GamControl, _finish, gam, working_pass
 from smoothlake.operators.smoothing import Selector, Working, inverse
 
 
+@dataclass(frozen=True)
+class ScamControl(GamControl):
+    """max_iterations: passes. outer, inner: rounds of smoothing selection after a pass, and Newton steps in each.
+    not_exp: increments are log(1 + exp(raw)) instead of exponentials, which keeps steps small where they are large."""
+
+    max_iterations: int = 200
+    outer: int = 25
+    inner: int = 60
+    not_exp: bool = False
+
+
+def scam_control(**options) -> ScamControl:
+    return ScamControl(**options)
+
+
 def has_shape_constraints(design) -> bool:
     return bool(design.positive().any())
 
@@ -63,25 +79,33 @@ def solve_qp(g: np.ndarray, b: np.ndarray, a: np.ndarray | None, lo: np.ndarray
     return x + inv @ a.T @ lam, active
 
 
-def _exponential(design, w: Working, method: str, gamma: float, raw: np.ndarray | None, rho):
+def _exponential(design, w: Working, method: str, control: ScamControl, raw: np.ndarray | None, rho):
     """Positive coefficients as exponentials: linearised around the raw coefficients until they settle. The
     smoothing parameters are chosen on the linearised model and held while the coefficients converge."""
     pos = design.positive()
-    selector = Selector(design, method, gamma)
+    selector = Selector(design, method, control.gamma)
+    soft = control.not_exp
     if raw is None:
         start = inverse(w.g + selector.penalty(selector.start(w.g))) @ w.b
-        raw = np.where(pos, np.log(np.clip(start, 0.05 * np.abs(start[pos]).mean() + 1e-6, None)), start)
+        least = np.clip(start, 0.05 * np.abs(start[pos]).mean() + 1e-6, None)
+        raw = np.where(pos, np.where(least < 30, np.log(np.expm1(np.minimum(least, 30))), least) if soft else np.log(least), start)
 
     def value(r):
-        return np.where(pos, np.exp(np.clip(r, -40, 40)), r)
+        return np.where(pos, log1pexp(r) if soft else np.exp(np.clip(r, -40, 40)), r)
+
+    def slope(r):
+        return np.where(pos, expit(r), 1.0) if soft else np.where(pos, value(r), 1.0)
+
+    def bend(r):
+        return expit(r) * expit(-r) if soft else value(r)
 
     def objective(r, s):
         beta = value(r)
         return 0.5 * beta @ w.g @ beta - w.b @ beta + 0.5 * r @ s @ r
 
-    for outer in range(25):
+    for _ in range(control.outer):
         beta = value(raw)
-        c = np.where(pos, beta, 1.0)
+        c = slope(raw)
         g = w.g * c[:, None] * c
         left = w.b - w.g @ beta
         rss = w.zz - 2 * beta @ w.b + beta @ w.g @ beta
@@ -92,13 +116,13 @@ def _exponential(design, w: Working, method: str, gamma: float, raw: np.ndarray
         s = selector.penalty(rho)
         scale = w.scale or max(rss, 1e-300) / w.n
         moved = 0.0
-        for _ in range(60):
+        for _ in range(control.inner):
             beta = value(raw)
-            c = np.where(pos, beta, 1.0)
+            c = slope(raw)
             left = w.b - w.g @ beta
             grad = s @ raw - c * left
             hess = w.g * c[:, None] * c + s
-            hess[pos, pos] += np.maximum(-(c * left)[pos], 0.0)  # the curvature of the exponential, where it is safe
+            hess[pos, pos] += np.maximum(-(bend(raw) * left)[pos], 0.0)  # the map's curvature, where it is safe
             step = -inverse(hess + 1e-9 * np.trace(hess) / len(hess) * np.eye(len(hess))) @ grad
             step = np.clip(step, -3, 3)
             now, size = objective(raw, s), 1.0
@@ -111,15 +135,15 @@ def _exponential(design, w: Working, method: str, gamma: float, raw: np.ndarray
         if old is not None and np.abs(rho - old).max() < 1e-3:
             break
     del scale
-    beta = value(raw)
-    c = np.where(pos, beta, 1.0)
-    return raw, beta, c, rho, selector
+    return raw, value(raw), slope(raw), rho, selector
 
 
 def fit_constrained(design, rows, table, family, method: str, control: GamControl, n: int):
     """A fit with exponentials, or with linear constraints, or both kinds of smooths in one formula where the
     exponentials' signs are kept as inequalities."""
     family = replace(family)
+    if not isinstance(control, ScamControl):
+        control = ScamControl(control.epsilon, control.max_iterations, control.gamma, control.local_rows)
     response = design.formula.response
     ineq, eq = design.inequalities(), design.equalities()
     pos = design.positive()
@@ -145,7 +169,7 @@ def fit_constrained(design, rows, table, family, method: str, control: GamContro
         if linear:
             beta, rho, turn = _quadratic(design, w, method, control.gamma, ineq, eq, rho)
         else:
-            raw, beta, c, rho, selector = _exponential(design, w, method, control.gamma, raw, rho)
+            raw, beta, c, rho, selector = _exponential(design, w, method, control, raw, rho)
         if direct:
             stats = r
             break
@@ -205,7 +229,7 @@ def _quadratic(design, w: Working, method: str, gamma: float, ineq, eq, rho):
 
 
 def scam(formula, df, family=None, link=None, method: str = "GCV", **more):
-    """A shape-constrained additive model; smoothing by GCV unless said otherwise."""
+    """A shape-constrained additive model; smoothing by GCV unless said otherwise. control: a ScamControl."""
     return gam(formula, df, family, link, method, **more)
 
 
