@@ -22,7 +22,7 @@ from smoothlake.operators.gamm_large import LargeGammModel, gamm_large
 from smoothlake.operators.general import fit_general
 from smoothlake.operators.knots import discretize_covariates, knot_quantiles, laplacian, place_knots
 from smoothlake.operators.mixed import SmoothMixed, gam_matrices, gam_smooth, s2r_predict, smooth2random
-from smoothlake.operators.model import GamModel
+from smoothlake.operators.model import GamModel, load
 from smoothlake.operators.multifamilies import EGPD1, EGPD2, EGPD3, EGPD4, ELF, ELFLSS, GEV, GPD, BetaLS, GammaLS, GaussianLS, InverseGaussianLS, MultiFamily, NegBinLS
 from smoothlake.operators.qgam import QgamModel, check_qgam, cqcheck, mqgam, pinball_loss, qdo, qgam, quantile_residuals
 from smoothlake.operators.scam import ScamControl, has_shape_constraints, scam, scam_control, scasm

@@ -316,6 +316,27 @@ def rootogram(m: GamModel, most: int | None = None) -> DataFrame:
     return _frame(m, rows, "count int, observed double, expected double, sqrt_observed double, sqrt_expected double")
 
 
+def row_distances(m: GamModel, view: tuple[str, str], n: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grid of the first column, of the second, distance of each grid point from the nearest row, in units of the ranges).
+
+    Exact: a task holds the grid against each of its batches, in parts that stay in cache, and hands on the least distances."""
+    a, b = view
+    r = m.rows.range([a, b])
+    (la, wa), (lb, wb) = ((r[c][0], r[c][1] - r[c][0] or 1.0) for c in (a, b))
+    ga, gb = np.linspace(*r[a], n), np.linspace(*r[b], n)
+    pa, pb = np.repeat((ga - la) / wa, n), np.tile((gb - lb) / wb, n)
+
+    def block(cols):
+        points = np.unique(np.column_stack([(np.asarray(cols[a], float) - la) / wa, (np.asarray(cols[b], float) - lb) / wb]), axis=0)
+        least = np.full(n * n, np.inf)
+        for lo in range(0, len(points), 512):
+            x, z = points[lo : lo + 512].T
+            least = np.minimum(least, ((pa[:, None] - x) ** 2 + (pb[:, None] - z) ** 2).min(axis=1))
+        return {"max_near": -least}
+
+    return ga, gb, np.sqrt(-m.rows.sweep(block)["max_near"]).reshape(n, n)
+
+
 def vis_gam(m: GamModel, view: tuple[str, str] | None = None, n: int = 30, too_far: float = 0.0, type: str = "link", se: bool = False) -> DataFrame:
     """The fitted surface over two columns; grid points farther than ``too_far`` from all rows, in units of the
     ranges, have a null fit."""
@@ -323,21 +344,8 @@ def vis_gam(m: GamModel, view: tuple[str, str] | None = None, n: int = 30, too_f
     a, b = view or (numeric[0], numeric[1])
     out = m.predict(data_slice(m, **{a: n, b: n}), type, se)
     if too_far > 0:
-        r = m.rows.range([a, b])
-        wa, wb = (r[c][1] - r[c][0] or 1.0 for c in (a, b))
-        ga, gb = np.linspace(*r[a], n), np.linspace(*r[b], n)
-
-        def block(cols):
-            # distances to grid points from the cells that rows fall in: rows are binned first
-            i = np.clip(((cols[a] - r[a][0]) / wa * 200).astype(int), 0, 199)
-            j = np.clip(((cols[b] - r[b][0]) / wb * 200).astype(int), 0, 199)
-            grid = np.zeros((200, 200))
-            np.add.at(grid, (i, j), 1)
-            return {"cells": grid}
-
-        i, j = np.nonzero(m.rows.sweep(block)["cells"])
-        pa, pb = (i + 0.5) / 200, (j + 0.5) / 200
-        near = [(float(x), float(z)) for x in ga for z in gb if np.min(((x - r[a][0]) / wa - pa) ** 2 + ((z - r[b][0]) / wb - pb) ** 2) <= too_far**2]
+        ga, gb, distance = row_distances(m, (a, b), n)
+        near = [(float(x), float(z)) for i, x in enumerate(ga) for j, z in enumerate(gb) if distance[i, j] <= too_far]
         keep = m._spark().createDataFrame(near, f"`{a}` double, `{b}` double").withColumn("__near", F.lit(True))
         out = out.join(F.broadcast(keep), [a, b], "left").withColumn("fit", F.when(F.col("__near"), F.col("fit"))).drop("__near")
     return out

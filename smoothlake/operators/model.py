@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -15,6 +16,18 @@ from smoothlake.operators.rowmap import add_columns
 from smoothlake.plans.design import Design
 
 
+SAVED = "description string, state binary"
+
+
+def load(spark: SparkSession, path: str) -> GamModel:
+    """A model that ``save`` wrote. It predicts for new rows; what needs the rows of the fit is not there. Like any pickled
+    state, read it from places you trust only."""
+    rows = spark.read.schema(SAVED).parquet(path).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} holds {len(rows)} models")
+    return pickle.loads(bytes(rows[0].state))
+
+
 @dataclass
 class GamModel:
     design: Design
@@ -239,6 +252,11 @@ class GamModel:
         """What is known of the fit, as text; the model object itself can be pickled with ``state()``."""
         return json.dumps({"formula": repr(self.design.formula), "family": self.family.name, "link": self.family.link_name, "names": self.design.names, "beta": self.beta.tolist(), "log_sp": self.log_sp.tolist(), "scale": self.scale, "deviance": self.deviance, "edf": self.edf.tolist(), "n": self.n})
 
+    def save(self, path: str) -> None:
+        """The model as a table of one row in any store that Spark writes: what ``to_json`` says, and its whole state."""
+        row = (self.to_json(), pickle.dumps(self.state()))
+        self._spark().createDataFrame([row], SAVED).coalesce(1).write.parquet(path)
+
     def state(self) -> GamModel:
         """A copy without handles to a session, for pickling."""
         from dataclasses import replace
