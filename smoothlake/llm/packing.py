@@ -99,7 +99,7 @@ def pieces_of(documents: DataFrame, options: PackingOptions = PackingOptions(),
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, 200_000, 100_000)  # beside what other stages of a pipeline keep in the same worker
         end = np.array([o.end_id], "<u4").tobytes()
         for b in batches:
             rows = []

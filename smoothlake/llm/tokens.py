@@ -121,9 +121,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, whose memories outlive its tasks."""
-    return Encoder(path)
+def encoder(path: str, pieces: int = 600_000, parts: int = 300_000) -> Encoder:
+    """One encoder per Python worker and size of memory, whose memories outlive its tasks."""
+    return Encoder(path, pieces, parts)
 
 
 def default_tokenizer() -> str:
