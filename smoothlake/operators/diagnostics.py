@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from smoothlake.functions.special import chi2_sf, f_sf, normal_cdf, normal_ppf
 from smoothlake.operators.model import GamModel
 from smoothlake.operators.rowmap import add_columns
+from smoothlake.sources.rows import row_counts
 
 
 def _frame(m: GamModel, rows, schema) -> DataFrame:
@@ -57,7 +58,7 @@ def concurvity(m: GamModel, full: bool = True):
     """How well each term's columns are spanned by the others': {label: value}, or pairwise {(a, b): value} where
     not full. One pass gives the unweighted Gram matrix; the rest is algebra."""
     design = m.design
-    g = m.rows.sweep(lambda cols: {"g": (x := design.matrix(cols)).T @ x})["g"]
+    g = m.rows.sweep(lambda cols: {"g": (x := design.matrix(cols)).T @ (x * row_counts(cols)[:, None])})["g"]
     terms = [("parametric", np.arange(design.n_parametric))] + [(s.label, np.arange(s.slice.start, s.slice.stop)) for s in design.smooths]
 
     def worst(a: np.ndarray, b: np.ndarray) -> float:
@@ -309,7 +310,8 @@ def rootogram(m: GamModel, most: int | None = None) -> DataFrame:
 
     def block(cols):
         mu = family.clip(family.link.inv(design.matrix(cols) @ beta + cols["__offset"]))
-        return {"e": np.array([family.pmf(k, mu).sum() for k in range(top + 1)])}
+        n = row_counts(cols)
+        return {"e": np.array([n @ family.pmf(k, mu) for k in range(top + 1)])}
 
     e = m.rows.sweep(block)["e"]
     rows = [(k, float(observed.get(k, 0)), float(e[k]), math.sqrt(observed.get(k, 0)), math.sqrt(e[k])) for k in range(top + 1)]

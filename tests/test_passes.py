@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from smoothlake.operators import diagnostics
 from smoothlake.operators.gam import GamControl, bam, gam
 from smoothlake.operators.knots import discretize_covariates, knot_quantiles, place_knots
 from smoothlake.sources import rows
@@ -108,3 +109,16 @@ def test_models_free_what_they_hold(spark):
     del m
     gc.collect()
     assert held() == before
+
+
+def test_compressed_rows_count_for_all_they_stand_for(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    x, z = rng.integers(0, 4, n), rng.integers(0, 3, n)
+    t = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, z, rng.poisson(1 + 0.3 * x), strict=True)], "x double, z double, y double").repartition(3)
+    plain, packed = gam("y ~ x + s(z, k=3, bs='cr')", t, "poisson"), bam("y ~ x + s(z, k=3, bs='cr')", t, "poisson")
+    assert packed.rows.n == 12 and plain.rows.n == n
+    a, b = (diagnostics.rootogram(m).toPandas() for m in (plain, packed))
+    assert abs(b.expected.sum() - n) < 1 and np.allclose(a.expected, b.expected, rtol=1e-5)
+    c, d = (diagnostics.concurvity(m) for m in (plain, packed))
+    assert all(np.isclose(c[k], d[k], rtol=1e-6, atol=1e-9) for k in c)
