@@ -208,11 +208,12 @@ def rootogram_counts(spark, sf_dir):
 @query("""WITH g AS (SELECT l_suppkey AS level, count(*) AS n, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1), m AS (SELECT sum(n * n / (n + 10.0) * a) / sum(n * n / (n + 10.0)) AS mu FROM g)
 SELECT level, round(n / (n + 10.0) * (a - mu), 4) AS effect FROM g, m""")
 def re_group_effects(spark, sf_dir):
-    m = gam("l_extendedprice ~ s(l_suppkey, bs='re', sp=10.0)", table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_suppkey"))
-    (smooth,) = m.design.smooths
-    effects = smooth.columns({"l_suppkey": np.array(smooth.basis.levels)}) @ m.beta[smooth.slice]
-    rows = [(int(level), round(float(v), 4)) for level, v in zip(smooth.basis.levels, effects, strict=True)]
-    return spark.createDataFrame(rows, "level long, effect double")
+    """The effects of ``s(l_suppkey, bs='re', sp=10)``, with a supplier's sums as a row on the cluster."""
+    from smoothlake.operators.gamm_large import gamm_large
+
+    li = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_suppkey")
+    m = gamm_large("l_extendedprice ~ 1 + (1 | l_suppkey)", li, ratio=10.0, centred=True)
+    return m.ranef().select(F.col("level").cast("long").alias("level"), F.round("effect", 4).alias("effect"))
 
 
 @query("""SELECT a.n_nationkey AS region, count(*) AS degree FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY 1""")
