@@ -2,6 +2,7 @@
 
 Coefficients move by Hamiltonian trajectories in the metric of the penalised fit. All chains make their steps together: a
 leapfrog step is one pass over the rows that gives every chain's likelihood and gradient, whatever the number of chains.
+Where the likelihood is quadratic in the response, rows with equal covariates go together first, as two (``paired``).
 Smoothing parameters (and with them the variances of random effects) move between trajectories by random-walk steps
 that need the coefficients alone. Dispersions are coefficients of a predictor of their own and move with the others.
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from smoothlake.operators.bayes import PriorSpec
 from smoothlake.operators.families import Family, family_of
 from smoothlake.operators.gam import GamControl, WEIGHT, prepare
-from smoothlake.operators.gamlss import GamlssControl, MultiParameterModel, Stacked, _definite, fit_stacked, likelihood_pass, predictors
+from smoothlake.operators.gamlss import GamlssControl, MultiParameterModel, Stacked, _definite, fit_stacked, likelihood_pass, predictors, rows_to_fit
 from smoothlake.operators.gamm import random_smooths, with_groups
 from smoothlake.operators.general import FAMILIES, eta_derivatives
 from smoothlake.operators.multifamilies import BAD, BetaLS, GammaLS, GaussianLS, InverseGaussianLS, MultiFamily, NegBinLS
@@ -27,7 +28,6 @@ from smoothlake.operators.rowmap import add_columns
 from smoothlake.operators.smoothing import Selector, inverse
 from smoothlake.plans.design import bind
 from smoothlake.plans.formula import Formula, parse
-from smoothlake.sources.rows import rows_of
 
 
 @dataclass(frozen=True)
@@ -249,7 +249,7 @@ def bayes(formulas, df: DataFrame, family=None, priors: PriorSpec = PriorSpec(),
     narrow, n, ranges = prepare(keyed, union, weights, None, na_action)
     if problem := fam.valid(*ranges[response]):
         raise ValueError(problem)
-    rows = rows_of(narrow, n, gam_control.local_rows)
+    rows = rows_to_fit(narrow, n, union, fam, ranges[response], gam_control.local_rows)
     stacked = Stacked([bind(f, rows) for f in full])
     positive = np.concatenate([d.positive() for d in stacked.designs])
     post = Posterior(stacked, rows, fam, response, priors, positive)

@@ -10,15 +10,17 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from smoothlake.operators.gam import GamControl, OFFSET, WEIGHT, prepare
+from smoothlake.operators.gam import COUNT, GamControl, OFFSET, WEIGHT, _extra_columns, prepare
 from smoothlake.operators.multifamilies import DISTRIBUTIONS, MultiFamily
 from smoothlake.operators.rowmap import add_columns
 from smoothlake.operators.smoothing import Selector, Working, inverse
 from smoothlake.plans.design import Design, Penalty, bind
 from smoothlake.plans.formula import Formula, parse
-from smoothlake.sources.rows import rows_of
+from smoothlake.sources.rows import SparkRows, row_counts, rows_of
 
 
 @dataclass(frozen=True)
@@ -88,6 +90,34 @@ def value_pass(stacked: Stacked, family: MultiFamily, response: str, beta: np.nd
     return block
 
 
+def paired(df: DataFrame, keys: list[str], response: str, middle: float) -> DataFrame:
+    """Rows with equal covariates as two, a deviation below and above their mean with half their weight each. A likelihood
+    that is quadratic in the response, and its derivatives, have the same sums over both. middle: of the responses' range."""
+    off, w = F.col(f"`{response}`") - F.lit(float(middle)), F.col(WEIGHT)
+    sums = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.sum(w).alias(WEIGHT), F.sum(w * off).alias("__y"), F.sum(w * off * off).alias("__yy"), F.count(F.lit(1)).alias(COUNT))
+    some = F.col(WEIGHT) > 0
+    mean = F.when(some, F.col("__y") / F.col(WEIGHT)).otherwise(0.0)
+    away = F.when(some, F.sqrt(F.greatest(F.col("__yy") / F.col(WEIGHT) - mean * mean, F.lit(0.0)))).otherwise(0.0)
+    both = F.explode(F.array(mean - away + F.lit(float(middle)), mean + away + F.lit(float(middle))))
+    return sums.select(*[F.col(f"`{c}`") for c in keys], (F.col(WEIGHT) / 2).alias(WEIGHT), (F.col(COUNT) / 2).alias(COUNT), both.alias(response))
+
+
+def rows_to_fit(df: DataFrame, n: int, formula: Formula, family: MultiFamily, spread: tuple[float, float], local_rows: int, offsets: list[str] = ()):
+    """The rows; of a table that the driver may not hold, and a likelihood quadratic in the response, those with equal
+    covariates together if that leaves few enough."""
+    if n > local_rows and family.quadratic and not _extra_columns(formula):
+        keys = list(dict.fromkeys([*(c for c in formula.columns if c != formula.response), OFFSET, *offsets]))
+        small = paired(df, keys, formula.response, (spread[0] + spread[1]) / 2).persist(StorageLevel.MEMORY_AND_DISK)
+        groups = small.count()
+        if groups > local_rows and groups < n / 2:
+            return SparkRows(small, groups, (small,))
+        kept = rows_of(small, groups, local_rows) if groups <= local_rows else None
+        small.unpersist()
+        if kept is not None:
+            return kept
+    return rows_of(df, n, local_rows)
+
+
 def likelihood_pass(stacked: Stacked, family: MultiFamily, response: str, beta: np.ndarray):
     designs, starts, p, k = stacked.designs, stacked.starts, stacked.p, len(stacked.designs)
 
@@ -104,7 +134,7 @@ def likelihood_pass(stacked: Stacked, family: MultiFamily, response: str, beta:
                 b = slice(starts[j], starts[j + 1])
                 hess[a, b] = xs[i].T @ (xs[j] * (w * h[i][j])[:, None])
                 hess[b, a] = hess[a, b].T
-        return {"grad": grad, "hess": hess, "s": np.array([(w * f).sum(), (w > 0).sum()])}
+        return {"grad": grad, "hess": hess, "s": np.array([(w * f).sum(), row_counts(cols)[w > 0].sum()])}
 
     return block
 
@@ -320,7 +350,7 @@ def gamlss(formulas, df: DataFrame, family: MultiFamily | str, weights: str | No
     problem = family.valid(*ranges[response])
     if problem:
         raise ValueError(problem)
-    rows = rows_of(narrow, n, control.local_rows)
+    rows = rows_to_fit(narrow, n, union, family, ranges[response], control.local_rows, [o for o in offsets if o])
     designs = [bind(f, rows) for f in parsed]
     return _fit_model(designs, parsed, rows, narrow, family, response, n, method, gamlss_ctrl, start, ranges[response][0], sp, offsets)
 

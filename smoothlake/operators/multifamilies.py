@@ -23,6 +23,7 @@ class MultiFamily:
     names: tuple[str, ...] = ()
     links: tuple[str, ...] = ()
     positive_response = False
+    quadratic = False  # the likelihood, in the response
 
     def __init__(self, links: tuple[str, ...] | None = None):
         self.links = tuple(links) if links else type(self).links
@@ -65,6 +66,7 @@ class MultiFamily:
 
 class GaussianLS(MultiFamily):
     names, links = ("mu", "sigma"), ("identity", "log")
+    quadratic = True
 
     def nll(self, y, mu, sigma):
         return 0.5 * ((y - mu) / sigma) ** 2 + log(sigma) + 0.5 * math.log(2 * math.pi)

@@ -11,6 +11,7 @@ from smoothlake.operators.bayes_hmc import bayes
 from smoothlake.operators.gam import GamControl, gam
 from smoothlake.operators.gamlss import gamlss
 from smoothlake.operators.multifamilies import GPD, GaussianLS
+from smoothlake.sources.rows import LocalRows, SparkRows
 
 FEW = dict(nsamples=300, nchains=4, warmup=150)
 
@@ -67,3 +68,21 @@ def test_priors_hold_and_arguments_are_checked(spark):
     for bad in (lambda: gam(["y ~ 1", "~ 1"], df, GPD(), priors=True, offset="y"), lambda: bayes(["y ~ 1"] * 3, df, GPD()), lambda: bayes("y ~ 1", df, "tw")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_rows_with_equal_covariates_go_together_where_the_likelihood_is_quadratic(spark):
+    rng = np.random.default_rng(23)
+    n = 900
+    x, w = rng.integers(0, 6, n).astype(float), rng.integers(0, 3, n).astype(float)
+    t = pd.DataFrame({"x": x, "w": w, "y": 50 + rng.normal(1 + x / 2, np.exp(-1 + x / 6))})
+    df = spark.createDataFrame(pd.concat([t, pd.DataFrame({"x": [9.0], "w": [0.0], "y": [51.0]})])).repartition(3)
+    few = dict(nsamples=20, nchains=2, warmup=10)
+    for weights in (None, "w"):
+        near, far = (bayes(["y ~ x", "~ x"], df, GaussianLS(), weights=weights, gam_control=GamControl(local_rows=k), **few) for k in (5_000, 20))
+        assert isinstance(far.fit.rows, LocalRows) and (near.fit.rows.n, far.fit.rows.n) == (n + 1, 14)
+        assert np.allclose(near.fit.beta, far.fit.beta, atol=1e-8) and near.fit.nll == pytest.approx(far.fit.nll, rel=1e-9)
+        assert np.allclose(near.draws, far.draws, atol=1e-6) and near.accepted == pytest.approx(far.accepted, abs=1e-6)
+    near, far = (gamlss(["y ~ s(x, k=5, bs='cr')", "~ x"], df, GaussianLS(), control=GamControl(local_rows=k)) for k in (5_000, 20))
+    assert far.rows.n == 14 and np.allclose(near.beta, far.beta, atol=1e-5) and near.nll == pytest.approx(far.nll, rel=1e-8)
+    held = gamlss(["y ~ x", "~ x"], df, GaussianLS(), control=GamControl(local_rows=5))
+    assert isinstance(held.rows, SparkRows) and held.rows.n == 14
